@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm import bpe, packing
+from paneloom.llm import bpe, lines, media, neardup, packing
 from paneloom.session import read_table
 
 
@@ -16,6 +16,18 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = public_tokenizers
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
@@ -23,6 +35,9 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_packing": op1_hilbert_packing,
+    "op2_media_chunks": op2_media_chunks,
+    "op6_parity_join": op6_parity_join,
+    "op7_line_frequency": op7_line_frequency,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
 
