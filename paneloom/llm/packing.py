@@ -47,12 +47,16 @@ def _tokenizer(json_path: str, ranks_path: str | None, pattern: str | None):
     return slow, codec(ranks_path, pattern), tuple(t.content for t in slow.get_added_tokens_decoder().values())
 
 
-def token_ids(text: str, json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> list[int]:
+def token_ids(text: str, json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> np.ndarray:
     """Ids of text by the tokenizer file. With the same vocabulary as ranks, common characters take the faster path to the same ids."""
     slow, fast, special = _tokenizer(json_path, ranks_path, pattern)
     if fast is not None and _COMMON.fullmatch(text) and not any(s in text for s in special):
-        return fast.encode(text)
-    return slow.encode(text, add_special_tokens=False).ids
+        try:
+            return fast.encoding.encode_to_numpy(text, disallowed_special=())
+        except BaseException as e:  # the native scanner gives up on runs of white space of a megabyte
+            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+    return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _signs(buckets: int, dims: int) -> np.ndarray:
@@ -112,7 +116,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.asarray([*token_ids(t or "", json_path, ranks_path, pattern), end_id], dtype="<u4") for t in b.column(1).to_pylist()]
+            ids = [np.append(token_ids(t or "", json_path, ranks_path, pattern), np.uint32(end_id)) for t in b.column(1).to_pylist()]
             small = [x.astype("<u2").tobytes() if x.max() < 65_536 else None for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(hilbert_keys([x[:-1] for x in ids]), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary()), pa.array([x.tobytes() if s is None else None for x, s in zip(ids, small, strict=True)], pa.binary())],
