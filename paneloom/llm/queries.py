@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm import bpe, lines, media, neardup, packing
+from paneloom.llm import bpe, lines, media, neardup, packing, suffixes
 from paneloom.session import read_table
 
 
@@ -28,6 +28,10 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = public_tokenizers
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_chunks": op2_media_chunks,
     "op6_parity_join": op6_parity_join,
     "op7_line_frequency": op7_line_frequency,
+    "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
 
