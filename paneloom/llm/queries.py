@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm import bpe, lines, media, neardup, packing, suffixes
+from paneloom.llm import bpe, langid, lines, media, neardup, packing, suffixes
 from paneloom.session import read_table
 
 
@@ -20,6 +20,10 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +44,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_media_chunks": op2_media_chunks,
+    "op4_language_families": op4_language_families,
     "op6_parity_join": op6_parity_join,
     "op7_line_frequency": op7_line_frequency,
     "op9_sparse_suffixes": op9_sparse_suffixes,
