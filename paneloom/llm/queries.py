@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm import bpe, langid, lines, media, neardup, packing, suffixes
-from paneloom.session import read_table
+from paneloom.llm import bpe, langid, licenses, lines, media, neardup, packing, secrets, shards, suffixes
+from paneloom.session import Scratch, read_table
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,18 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digests(shards.compacted(read_table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)[1])
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,6 +40,10 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op9_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -44,11 +56,17 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_media_chunks": op2_media_chunks,
+    "op3_license_join": op3_license_join,
     "op4_language_families": op4_language_families,
+    "op5_shard_compaction": op5_shard_compaction,
     "op6_parity_join": op6_parity_join,
     "op7_line_frequency": op7_line_frequency,
+    "op8_secret_forest": op8_secret_forest,
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_license_join": licenses.oracle_sql(),
+    "op5_shard_compaction": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+}
