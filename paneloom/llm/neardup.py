@@ -8,12 +8,13 @@ its d+1 rarest segments (by corpus-wide counts of hashed shingles, which gives a
 linked sets share an emitted segment: the pigeonhole join loses no link. A set with too few non-empty segments
 emits single shingles, by the same argument, in a namespace that such sets share.
 
-Sets sharing a segment form candidate families (connected components of star edges; the first set of a task
-stands for the others, so a segment held by very many sets does not gather in one task). Within a family, in
-blocks of bounded size, pairs are compared by parity bit sketches: their Hamming distance never exceeds the
-symmetric difference, so a larger distance rules the pair out. The others are verified on the whole sets. Pairs
-already connected are skipped, and each pair of blocks returns a spanning forest of verified links; the
-components of these are the answer. Equal sets count once throughout.
+A few holders of a segment give all their pairs; of these, sizes and parity bit sketches (whose Hamming distance
+never exceeds the symmetric difference) rule most out. More holders are joined to the first of their run by size;
+each task joins its own entries first and passes on a few for each size step, so a segment held by very many
+sets does not gather in one task. The components of what is left are candidate families. A family is cut into
+blocks of bounded size by band; a task takes a pair of blocks, rules pairs out by size and Hamming distance and
+verifies the others on the whole sets. Pairs already connected are skipped, and each task returns a spanning
+forest of verified links; the components of these are the answer. Equal sets count once throughout.
 
 Null, empty and white-space texts have an empty set and link with nothing. Repeated rows are members of one
 class. A null doc_id is kept and never is a component's name unless nothing else is there. An empty table gives
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ SHINGLE = 5
 PERCENT = 80
 CELLS = 1 << 20
 BLOCK = 512
+FEW = 8
 SPARSE_BAND = 64  # below this size each shingle has a segment of its own
 
 
@@ -95,6 +98,11 @@ def parity_sketch(s: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd).view(np.uint64)
 
 
+def sketch_words(n: int) -> int:
+    """64-bit words of the sketch in the band of a set of n elements: two to four bits for each."""
+    return 1 << max(0, int(2 * n - 1).bit_length() - 6)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     same = len(np.intersect1d(a, b, assume_unique=True))
     return same > 0 and 100 * same >= percent * (len(a) + len(b) - same)
@@ -109,7 +117,7 @@ def spanning_links(left: list[int], right: list[int], sets: list[np.ndarray], pe
     members = sorted({*left, *right})
     pos = {m: i for i, m in enumerate(members)}
     size = np.array([len(sets[m]) for m in members], np.int64)
-    words = 1 << max(0, int(2 * size.max() - 1).bit_length() - 6)
+    words = sketch_words(int(size.max()))
     sk = np.stack([parity_sketch(sets[m], words) for m in members])
     root = np.arange(len(members))
     links: list[tuple[int, int]] = []
@@ -147,26 +155,27 @@ def _i64(a: np.ndarray) -> pa.Array:
 
 
 def _facts(src: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, fp) of every row, and counts of all shingles by hashed cell, from one pass over the texts."""
+    """(doc_id, th, n, fp, sketch) of every row, and counts of all shingles by hashed cell, from one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for b in batches:
-            n, fp = [], []
-            for words in tc.texts_words(b.column(1), lower=True):
+            n, fp, sketch = [], [], []
+            for words in tc.texts_words(b.column(2), lower=True):
                 s = tc.shingle_set(words, SHINGLE)
                 n.append(len(s))
                 fp.append(fingerprint(s))
+                sketch.append(parity_sketch(s, sketch_words(len(s))).tobytes() if len(s) else None)
                 np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), _i64(np.array(n, np.int64)), _i64(np.array(fp, np.uint64)), none, pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], _i64(np.array(n, np.int64)), _i64(np.array(fp, np.uint64)), none, pa.array(sketch, pa.binary())], names)
         for k, part in enumerate(np.split(cells, CELLS_PARTS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names)
 
-    names = ["doc_id", "n", "fp", "part", "cells"]
-    written = scratch.keep(src.mapInArrow(run, "doc_id bigint, n bigint, fp bigint, part int, cells binary"), "facts")
-    return written.where("part is null").select("doc_id", "n", "fp"), written.where("part is not null").select("part", "cells")
+    names = ["doc_id", "th", "n", "fp", "part", "body"]
+    written = scratch.keep(src.mapInArrow(run, "doc_id bigint, th bigint, n bigint, fp bigint, part int, body binary"), "facts")
+    return written.where("part is null").selectExpr("doc_id", "th", "n", "fp", "body as sketch"), written.where("part is not null").selectExpr("part", "body as cells")
 
 
 CELLS_PARTS = 64
@@ -188,44 +197,83 @@ def _cell_counts(cells: DataFrame) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def _stars(sig: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (signature, set) entries: the smallest set of each signature, and star edges from it to the others."""
-    order = np.lexsort((ref, sig))
-    sig, ref = sig[order], ref[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0)) if len(sig) else np.zeros(0, np.int64)
-    other = ~new & (ref != ref[head])
-    pairs = np.unique(np.stack([ref[head][other], ref[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-    return sig[new], ref[new], pairs[:, 0], pairs[:, 1]
+ENTRY = np.dtype([("sig", "<u8"), ("fp", "<u8"), ("n", "<u4")])
+
+
+_THIN = np.uint32(1 << 31)  # set in n: entries of this signature were left out by a task
+
 
+def _candidates(e: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: those that stand for all; pairs that may link; edges that connect what may link.
 
-def _families(src: DataFrame, counts: np.ndarray, parts: int, scratch: Scratch) -> DataFrame:
-    """Star edges (a, b) between the fingerprints of sets that share an emitted segment."""
+    Up to FEW holders of a signature give all pairs that their sizes allow. More of them are taken by size and
+    cut where the sizes of neighbours rule out a link (then nothing on either side of the gap links); each is
+    joined to the first of its run. Of these the smallest and the largest of each size step of a tenth stand for
+    the holders: whatever may link with one left out may link with one of those.
+    """
+    e = e[np.lexsort((e["fp"], e["n"] & ~_THIN, e["sig"]))]
+    none = np.zeros((0, 2), np.uint64)
+    if not len(e):
+        return e, none, none
+    e = e[np.concatenate([[True], (e["sig"][1:] != e["sig"][:-1]) | (e["fp"][1:] != e["fp"][:-1])])]
+    new = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])
+    at = np.flatnonzero(new)
+    m = np.repeat(np.diff(np.append(at, len(e))), np.diff(np.append(at, len(e))))
+    thin = np.repeat(np.maximum.reduceat(e["n"] & _THIN, at) > 0, m[at])
+    n = (e["n"] & ~_THIN).astype(np.int64)
+    few = (m <= FEW) & ~thin
+    pairs = []
+    for gap in range(1, FEW):  # each with the one gap places on, in the same group
+        i = np.flatnonzero(few[:-gap] & (e["sig"][gap:] == e["sig"][:-gap]) & (100 * n[:-gap] >= percent * n[gap:])) if len(e) > gap else np.zeros(0, np.int64)
+        pairs.append(np.stack([e["fp"][i], e["fp"][i + gap]], axis=1))
+    run = new | np.concatenate([[True], 100 * n[:-1] < percent * n[1:]])
+    head = np.maximum.accumulate(np.where(run, np.arange(len(e)), 0))
+    i = np.flatnonzero(~few & ~run)
+    edges = np.stack([e["fp"][head[i]], e["fp"][i]], axis=1)
+    step = np.floor(np.log(np.maximum(n, 1)) / np.log(1.1)).astype(np.int64)
+    edge = new[1:] | (step[1:] != step[:-1]) | run[1:]
+    stands = few | np.concatenate([[True], edge]) | np.concatenate([edge, [True]])
+    e["n"] = np.where(few, e["n"], e["n"] | _THIN)
+    tidy = lambda x: np.unique(np.sort(x, axis=1), axis=0)
+    return e[stands], tidy(np.concatenate(pairs)), tidy(edges)
+
+
+def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int = PERCENT) -> bool:
+    """False if sizes or the Hamming distance of the parity sketches rule a link out."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n_a + n_b)
+
+
+def _families(src: DataFrame, facts: DataFrame, counts: np.ndarray, parts: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between fingerprints that connect all sets that share an emitted segment and may link."""
     spark = src.sparkSession
     held = spark.sparkContext.broadcast(counts)  # 4 MB at any corpus size
-    names = ["part", "a", "b", "blob"]
+    names = ["part", "a", "b", "pair", "blob"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
-        sigs: list[np.ndarray] = []
-        refs: list[np.ndarray] = []
+        entries: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, ref, a, b = _stars(np.concatenate(sigs), np.concatenate(refs))
-            part = (sig >> np.uint64(33)) % np.uint64(parts)
+            e, pairs, edges = _candidates(np.concatenate(entries))
+            entries.clear()
+            part = (e["sig"] >> np.uint64(33)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            entries = np.stack([sig[order], ref[order]], axis=1)
+            e = e[order]
             full = [p for p in range(parts) if cut[p + 1] > cut[p]]
-            none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none(len(full), pa.int64()), none(len(full), pa.int64()), pa.array([entries[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], names)
-            if len(a):
-                where = (tc.mix(a) % np.uint64(parts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(where), _i64(a), _i64(b), none(len(a), pa.binary())], names)
-            sigs.clear()
-            refs.clear()
+            none = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, pa.nulls(len(full), pa.bool_()), pa.array([e[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], names)
+            for found, kind in ((pairs, True), (edges, False)):
+                if len(found):
+                    where = (tc.mix(found[:, 0].copy()) % np.uint64(parts)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(where), _i64(found[:, 0]), _i64(found[:, 1]), pa.array([kind] * len(found)), pa.nulls(len(found), pa.binary())], names)
 
         for batch in batches:
             for words in tc.texts_words(batch.column(0), lower=True):
@@ -237,26 +285,38 @@ def _families(src: DataFrame, counts: np.ndarray, parts: int, scratch: Scratch)
                     seen.clear()  # bounds memory; a set met twice is dropped by the reducer
                 seen.add(fp)
                 sig = signatures(s, counts)
-                sigs.append(sig)
-                refs.append(np.full(len(sig), fp, np.uint64))
+                own = np.empty(len(sig), ENTRY)
+                own["sig"], own["fp"], own["n"] = sig, fp, len(s)
+                entries.append(own)
                 size += len(sig)
-                if size > 2_000_000:
+                if size > 1_500_000:
                     yield from flush()
                     size = 0
-        if sigs:
+        if entries:
             yield from flush()
 
     def reduce(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in group.column("blob").combine_chunks() if x.is_valid]
-        entries = np.concatenate(blobs) if blobs else np.zeros((0, 2), np.uint64)
-        _, _, a, b = _stars(entries[:, 0], entries[:, 1])
-        old = group.filter(pa.compute.is_valid(group.column("a")))
-        pairs = np.concatenate([np.stack([a, b], axis=1).view(np.int64).reshape(-1, 2), np.stack([old.column("a").to_numpy(), old.column("b").to_numpy()], axis=1)]) if len(a) or len(old) else np.zeros((0, 2), np.int64)
-        pairs = np.unique(pairs, axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        blobs = [np.frombuffer(x.as_py(), ENTRY) for x in group.column("blob").combine_chunks() if x.is_valid]
+        _, pairs, edges = _candidates(np.concatenate(blobs) if blobs else np.zeros(0, ENTRY))
+        old = group.filter(pa.compute.is_valid(group.column("a"))).select(["a", "b", "pair"])
+        new = [pa.table({"a": x.view(np.int64)[:, 0], "b": x.view(np.int64)[:, 1], "pair": pa.array([kind] * len(x), pa.bool_())}) for x, kind in ((pairs, True), (edges, False)) if len(x)]
+        return pa.concat_tables([old.cast(EDGE), *(t.cast(EDGE) for t in new)])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_link(*row) for row in zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    shipped = src.select("text").mapInArrow(emit, "part int, a bigint, b bigint, pair boolean, blob binary")
+    found = scratch.keep(shipped.groupBy("part").applyInArrow(reduce, "a bigint, b bigint, pair boolean").groupBy("a", "b").agg(F.bool_and("pair").alias("pair")), "found")
+    release_shuffles(spark)
+    sketches = facts.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.min("sketch").alias("sk"))
+    left = found.where("pair").join(sketches.selectExpr("fp as a", "n as na", "sk as ska"), "a")
+    both = left.join(sketches.selectExpr("fp as b", "n as nb", "sk as skb"), "b").select("a", "b", "na", "ska", "nb", "skb")
+    return found.where("not pair").select("a", "b").unionByName(both.mapInArrow(near, "a bigint, b bigint"))
 
-    shipped = src.select("text").mapInArrow(emit, "part int, a bigint, b bigint, blob binary")
-    return scratch.keep(shipped.groupBy("part").applyInArrow(reduce, "a bigint, b bigint"), "stars")
+
+EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pair", pa.bool_())])
 
 
 def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scratch) -> DataFrame:
@@ -264,9 +324,11 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
     # one row of documents for each fingerprint in a family, and its block there
     reps = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     inside = family.join(reps, family["id"] == reps["fp"]).select("label", "fp", "rep", "n")
-    sizes = inside.groupBy("label").agg(F.count("fp").alias("m"), F.sum("n").alias("elements"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("elements") / 4_000_000)).cast("int")
-    placed = inside.join(sizes.where("m > 1").select("label", blocks.alias("nb")), "label").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    band = F.length(F.bin("n")).alias("band")
+    sizes = inside.groupBy("label", band).agg(F.count("fp").alias("m"), F.sum("n").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("elements") / 2_000_000)).cast("int")
+    plan = sizes.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks))).alias("nb"), F.sum("m").alias("m")).where("m > 1").drop("m")
+    placed = inside.withColumn("band", band).join(plan, "label").withColumn("block", F.expr("cast(pmod(xxhash64(fp), nb[band]) as int)"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,44 +340,60 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
                     keep.append(i)
                     blob.append(s.tobytes())
             rest = pa.RecordBatch.from_arrays(b.columns[1:], b.schema.names[1:]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(blob, pa.binary())], ["label", "fp", "nb", "block", "s"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(blob, pa.binary())], ["label", "fp", "n", "nb", "band", "block", "s"])
 
     fetched = (
-        src.join(placed, src["doc_id"].eqNullSafe(placed["rep"])).select("text", "label", "fp", "nb", "block")
-        .mapInArrow(sets, "label bigint, fp bigint, nb int, block int, s binary")
+        src.join(placed, src["doc_id"].eqNullSafe(placed["rep"])).select("text", "label", "fp", "n", "nb", "band", "block")
+        .mapInArrow(sets, "label bigint, fp bigint, n bigint, nb map<int, int>, band int, block int, s binary")
     )
-    # every pair of blocks is a task: a row goes to the pairs that hold its block
-    paired = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("label", "fp", "s", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    # A task is a pair of blocks of one band, or of a band and the next for the sets that can reach over.
+    # side: 1 left, 2 right, 3 both.
+    own = "transform(sequence(0, nb[band] - 1), j -> struct(band as low, false as cross, least(block, j) as lo, greatest(block, j) as hi, if(j = block, 3, if(block < j, 1, 2)) as side))"
+    up = f"if(n * 100 div {PERCENT} >= shiftleft(1L, band) and nb[band + 1] is not null, transform(sequence(0, nb[band + 1] - 1), j -> struct(band as low, true as cross, block as lo, j as hi, 1 as side)), array())"
+    down = f"if(n * {PERCENT} <= 100 * (shiftleft(1L, band - 1) - 1) and nb[band - 1] is not null, transform(sequence(0, nb[band - 1] - 1), j -> struct(band - 1 as low, true as cross, j as lo, block as hi, 2 as side)), array())"
+    paired = fetched.select("label", "fp", "s", F.expr(f"explode(concat({own}, {up}, {down}))").alias("t")).select("label", "fp", "s", "t.*")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("fp")
         body = [np.frombuffer(x, np.uint64) for x in group["s"]]
-        left = np.flatnonzero((group["block"] == group["lo"]).to_numpy()).tolist()
-        right = np.flatnonzero((group["block"] == group["hi"]).to_numpy()).tolist()
+        side = group["side"].to_numpy()
+        left, right = (np.flatnonzero(side & k).tolist() for k in (1, 2))
         fps = group["fp"].to_numpy()
         links = spanning_links(left, right, body) if left and right else []
         return pd.DataFrame({"a": [fps[i] for i, _ in links], "b": [fps[j] for _, j in links]}, dtype="int64")
 
-    return scratch.keep(paired.groupBy("label", "lo", "hi").applyInPandas(verify, "a bigint, b bigint"), "links")
+    return scratch.keep(paired.groupBy("label", "low", "cross", "lo", "hi").applyInPandas(verify, "a bigint, b bigint"), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, th (text hash), n (set size) and c, the name of its class within this run (null: empty set)."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "neardup")
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     facts, cells = _facts(src, scratch)
     counts = _cell_counts(cells)
     # emitted signatures are about a third of the shingles; a part holds a million of them or so
     total = facts.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.35 / 1_000_000) + 1)
-    stars = _families(src, counts, parts, scratch)
-    release_shuffles(spark)
-    links = _verified(src, facts, components(stars, scratch), scratch)
+    links = _verified(src, facts, components(_families(src, facts, counts, parts, scratch), scratch), scratch)
     release_shuffles(spark)
     labels = components(links, scratch).withColumnRenamed("label", "component")
-    rows = facts.join(labels, facts["fp"] == labels["id"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("c"))
+    return facts.join(labels, facts["fp"] == labels["id"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("c"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included)."""
+    rows = _classes(docs)
     # an empty set is its own component; the others take the smallest doc_id of theirs
     names = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("name")).withColumnRenamed("c", "c2")
     return rows.join(names, F.col("c") == F.col("c2"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id (ties: smallest text hash). Documents with an empty set stay; all columns stay."""
+    rows = _classes(docs)
+    first = rows.where("c is not null").groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "th", "doc_id")).alias("f")).select("f.doc_id", "f.th")
+    chosen = first.unionByName(rows.where("c is null").select("doc_id", "th").distinct()).selectExpr("doc_id as _id", "th as _th")
+    held = docs.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_text", F.xxhash64("text"))
+    return held.join(chosen, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
