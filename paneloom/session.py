@@ -35,7 +35,7 @@ def build_session(app: str = "paneloom", master: str | None = None, **conf: str)
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so Python workers can import it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")  # rows hold whole texts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # rows hold whole texts
     sc = spark.sparkContext
     if getattr(sc, "_paneloom_shipped", False):
         return
