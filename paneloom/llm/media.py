@@ -2,14 +2,17 @@
 
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the 8-bit samples of a mono WAV file.
 A gear hash rolls over the stored bytes (32 bytes wide) and cuts where its top bits are zero, between a least
-and a greatest chunk length. Chunks are known by SHA-256; one payload for each digest goes to the chunk store,
-and each distinct medium has an ordered list of digests. Reading joins the lists with the store, puts the
-chunks in order, checks length and SHA-256 against what was recorded at writing, and computes the features
-from the samples read back. A mismatch raises, it never passes silently.
+and a greatest chunk length. Chunks are known by SHA-256, and each distinct medium has an ordered list of
+digests. Joins on the digests find the chunks that several media share; the smallest (medium, position) is the
+home of such a chunk, and the store keeps its payload there alone. A row of the store holds the payloads whose
+home is that medium, so most media are read back from one row; only shared chunks are joined in from their
+homes. Reading puts the chunks in order, checks length and SHA-256 against what was recorded at writing, and
+computes the features from the samples read back. A mismatch raises, it never passes silently.
 
 Equal payloads are stored and read once and joined back to all rows that hold them, so a large group of copies
-costs one reconstruction. Chunk payloads travel compressed. Null and empty texts give 64 zero samples. Repeated
-rows give repeated results; an empty table gives none. Only ``doc_id`` and ``text`` are read.
+costs one reconstruction. Payloads travel compressed, with a dictionary trained on at most ``dict_chunks``
+chunks. Null and empty texts give 64 zero samples. Repeated rows give repeated results; an empty table gives
+none. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from paneloom.session import Scratch, release_shuffles, ship_package
 
 ALIGN = 64
-MIN_CHUNK, CUT_BITS, MAX_CHUNK = 2_048, 12, 65_536
+MIN_CHUNK, CUT_BITS, MAX_CHUNK = 2_048, 12, 16_384
+DICT_CHUNKS, DICT_BYTES, LEVEL = 3_000, 1 << 18, 6
 SAMPLE_RATE = 8_000
 HEADER = 44
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
@@ -81,7 +85,17 @@ def feature(samples: bytes) -> str:
     return f"n={len(x)};mean={int(x.sum()) * 1000 // len(x)};rms={int(np.sqrt(int((c * c).sum()) // len(x)))};zc={crossings};hist=" + ",".join(map(str, bins))
 
 
-LISTS = "doc_id bigint, n_bytes bigint, payload_sha256 string, media_sha256 binary, media_bytes bigint, chunks array<binary>"
+LISTS = "doc_id bigint, n_bytes bigint, payload_sha256 binary, media_sha256 binary, media_bytes bigint, chunks array<binary>"
+
+
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+
+def _chunks(media: bytes) -> list[bytes]:
+    ends = gear_cuts(np.frombuffer(media, np.uint8))
+    return [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
@@ -90,62 +104,96 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 body, n = payload(text)
                 media = to_wav(body)
-                rows.append((n, hashlib.sha256(body).hexdigest(), hashlib.sha256(media).digest(), len(media), [hashlib.sha256(c).digest() for c in _chunks(media)]))
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True))], ["doc_id", "n_bytes", "payload_sha256", "media_sha256", "media_bytes", "chunks"])
+                rows.append((doc_id, n, hashlib.sha256(body).digest(), hashlib.sha256(media).digest(), len(media), [hashlib.sha256(c).digest() for c in _chunks(media)]))
+            yield _batch(rows, doc_id=pa.int64(), n_bytes=pa.int64(), payload_sha256=pa.binary(), media_sha256=pa.binary(), media_bytes=pa.int64(), chunks=pa.list_(pa.binary()))
 
     return docs.mapInArrow(run, LISTS)
 
 
-def chunk_payloads(docs: DataFrame) -> DataFrame:
-    """(digest, z): the compressed payload of each chunk, once for each task that meets it."""
+def train_dictionary(docs: DataFrame, rows: int, chunks: int = DICT_CHUNKS) -> bytes:
+    """A compression dictionary from a chunk of at most that many rows (64 MB at most); empty if there are too few."""
+    share = min(1.0, chunks / max(rows, 1))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(_chunks(to_wav(payload(t)[0]))[0],) for t in b.column(1).to_pylist()], body=pa.binary())
+
+    found = sorted(bytes(r["body"]) for r in picked.mapInArrow(run, "body binary").limit(2 * chunks).collect())[:chunks]
+    if len(found) < 100:
+        return b""
+    return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, found)) // 8), found).as_bytes()
+
+
+def media_payloads(docs: DataFrame, dictionary: bytes) -> DataFrame:
+    """(media_sha256, media_bytes, z): the compressed chunks of each medium, once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         seen: set[bytes] = set()
         for b in batches:
-            digests, bodies = [], []
+            rows = []
             for text in b.column(1).to_pylist():
-                for c in _chunks(to_wav(payload(text)[0])):
-                    d = hashlib.sha256(c).digest()
-                    if d not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()  # bounds memory; the store drops what is met twice
-                        seen.add(d)
-                        digests.append(d)
-                        bodies.append(press.compress(c))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "z"])
-
-    return docs.mapInArrow(run, "digest binary, z binary")
-
-
-def _chunks(media: bytes) -> Iterator[bytes]:
-    at = 0
-    for end in gear_cuts(np.frombuffer(media, np.uint8)):
-        yield media[at:end]
-        at = end
+                media = to_wav(payload(text)[0])
+                d = hashlib.sha256(media).digest()
+                if d in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()  # bounds memory; the store drops what is met twice
+                seen.add(d)
+                rows.append((d, len(media), [press.compress(c) for c in _chunks(media)]))
+            yield _batch(rows, media_sha256=pa.binary(), media_bytes=pa.int64(), z=pa.list_(pa.binary()))
+
+    return docs.mapInArrow(run, "media_sha256 binary, media_bytes bigint, z array<binary>")
+
+
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    if not raw:
+        return None
+    d = zstandard.ZstdCompressionDict(raw)
+    d.precompute_compress(level=LEVEL)
+    return d
 
 
-def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Write (lists, store): a row of lists for each input row, a row of the store for each distinct chunk."""
+def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, bytes]:
+    """Write (lists, shared, store): lists for each input row, homes of shared chunks, payloads for each distinct medium."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     lists = scratch.keep(chunk_lists(src), "lists")
-    store = scratch.keep(chunk_payloads(src).dropDuplicates(["digest"]), "store")
-    return lists, store
+    places = _places(lists)
+    shared = scratch.keep(places.groupBy("digest").agg(F.min(F.struct("media_sha256", "at")).alias("home"), F.count("at").alias("n")).where("n > 1").drop("n"), "shared")
+    marks = (
+        places.join(shared, "digest").withColumn("own", F.expr("home = struct(media_sha256, at)"))
+        .groupBy("media_sha256").agg(F.expr("collect_set(at) filter (where own)").alias("lent"), F.expr("collect_set(at) filter (where not own)").alias("borrowed"))
+    )
+    dictionary = train_dictionary(src, lists.count())
+    bodies = media_payloads(src, dictionary).groupBy("media_sha256").agg(F.first("media_bytes").alias("media_bytes"), F.first("z").alias("z"))
+    store = bodies.join(marks, "media_sha256", "left").selectExpr(
+        "media_sha256", "media_bytes", "size(z) as n_chunks",
+        "filter(transform(z, (x, i) -> struct(i as at, x as z, coalesce(array_contains(lent, i), false) as lent)), p -> not coalesce(array_contains(borrowed, p.at), false)) as parts",
+    )
+    return lists, shared, scratch.keep(store, "store"), dictionary
+
 
+def _places(lists: DataFrame) -> DataFrame:
+    """(media_sha256, at, digest) of each chunk of each distinct medium."""
+    return lists.groupBy("media_sha256").agg(F.first("chunks").alias("chunks")).select("media_sha256", F.posexplode("chunks").alias("at", "digest"))
 
-def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
+
+def read_media(lists: DataFrame, shared: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
     """Per distinct medium: payload_bytes, payload_sha256, tail_crc32, feature, from the chunks of the store."""
-    media = lists.groupBy("media_sha256").agg(F.first("chunks").alias("chunks"), F.first("media_bytes").alias("media_bytes"))
-    wanted = media.select("media_sha256", "media_bytes", F.posexplode("chunks").alias("at", "digest"))
-    found = wanted.join(store, "digest", "left").select("media_sha256", "media_bytes", F.struct("at", "z").alias("c"))
-    whole = found.groupBy("media_sha256").agg(F.first("media_bytes").alias("media_bytes"), F.array_sort(F.collect_list("c")).alias("parts"))
+    whole = store.where("size(parts) = n_chunks").selectExpr("media_sha256", "media_bytes", "transform(parts, p -> struct(p.at, p.z)) as parts")
+    lent = store.select("media_sha256", F.expr("explode(filter(parts, p -> p.lent))").alias("p")).select(F.struct("media_sha256", "p.at").alias("home"), "p.z")
+    offered = shared.join(lent, "home").select("digest", "z")
+    borrowed = _places(lists).join(shared, "digest").where("home != struct(media_sha256, at)").select("media_sha256", "at", "digest")
+    filled = borrowed.join(offered, "digest").selectExpr("media_sha256", "cast(null as bigint) as media_bytes", "at", "z")
+    own = store.where("size(parts) < n_chunks").select("media_sha256", "media_bytes", F.expr("explode_outer(parts)").alias("p")).select("media_sha256", "media_bytes", "p.at", "p.z")
+    gathered = own.unionByName(filled).groupBy("media_sha256").agg(F.max("media_bytes").alias("media_bytes"), F.expr("array_sort(collect_list(struct(at, z)) filter (where at is not null))").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
+        unpress = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         for b in batches:
             rows = []
             for i in range(b.num_rows):
@@ -154,11 +202,10 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
                 if len(media) != size or hashlib.sha256(media).digest() != digest:
                     raise ValueError(f"medium {digest.hex()} can't be reconstructed")
                 body = from_wav(media)
-                rows.append((digest, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-ALIGN:]), feature(body)))
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], ["media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+                rows.append((digest, len(body), hashlib.sha256(body).digest(), zlib.crc32(body[-ALIGN:]), feature(body)))
+            yield _batch(rows, media_sha256=pa.binary(), payload_bytes=pa.int64(), payload_sha256=pa.binary(), tail_crc32=pa.int64(), feature=pa.string())
 
-    return whole.mapInArrow(run, "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string")
+    return whole.unionByName(gathered).mapInArrow(run, "media_sha256 binary, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -166,16 +213,15 @@ def media_columns(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "media")
-    lists, store = store_media(docs, scratch)
+    lists, shared, store, dictionary = store_media(docs, scratch)
     release_shuffles(spark)
-    back = scratch.keep(read_media(lists, store), "read")
+    back = scratch.keep(read_media(lists, shared, store, dictionary), "read")
     scratch.drop(store)
-    release_shuffles(spark)
     rows = lists.select("doc_id", "n_bytes", F.col("payload_sha256").alias("written_sha256"), "media_sha256", "media_bytes")
     joined = rows.join(back, "media_sha256", "left")
     intact = F.col("payload_sha256").eqNullSafe(F.col("written_sha256"))
     return joined.select(
         "doc_id", "n_bytes", "payload_bytes",
-        F.when(intact, F.col("payload_sha256")).otherwise(F.raise_error("a payload read back differs")).alias("payload_sha256"),
+        F.when(intact, F.lower(F.hex("payload_sha256"))).otherwise(F.raise_error(F.lit("a payload read back differs"))).alias("payload_sha256"),
         "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature",
     )
