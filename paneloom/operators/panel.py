@@ -35,7 +35,7 @@ def shares(df: DataFrame, parts: Sequence[str], total: Column | None = None, suf
 
 def hard_labels(df: DataFrame, tools: Sequence[str], other: str, at: float = 0.5, other_at: float = 0.6, tool_below: float = 0.4) -> DataFrame:
     """0/1 labels from probabilities p_*: a tool from ``at`` on; other only if it is likely and no tool is."""
-    best = F.greatest(*(F.col(f"p_{t}") for t in tools))
+    best = F.array_max(F.array(*(F.col(f"p_{t}") for t in tools)))
     out = df.withColumns({f"{t}_label": (F.col(f"p_{t}") >= at).cast("int") for t in tools})
     out = out.withColumn("max_tool_prob", best).withColumn(f"{other}_label", ((F.col(f"p_{other}") >= other_at) & (best < tool_below)).cast("int"))
     some = reduce(lambda a, b: a | b, (F.col(f"{t}_label") == 1 for t in tools))

@@ -71,11 +71,11 @@ def expand_pages(batches: DataFrame, pages: Column, batch: str) -> DataFrame:
 
 
 def stop_reasons(items: DataFrame, page: Sequence[str], day: str, page_no: str, page_count: str, start: str, time_sorted: Column | None = None) -> DataFrame:
-    """Why paging ends at a page: nothing listed, last page, or (sorted by time) older than the start; else empty."""
+    """Why paging ends at a page: nothing listed, last page, or (sorted by time) items older than the start; else empty."""
     listed = items.groupBy(*page).agg(F.count(day).alias("listed"), F.min(F.col(day).try_cast("date")).alias("oldest"), F.max(page_no).alias("_no"), F.max(page_count).alias("_of"))
     by_time = time_sorted if time_sorted is not None else F.lit(True)
     crossed = by_time & F.coalesce(F.col("oldest") < F.lit(start).cast("date"), F.lit(False))
-    reason = F.when(F.col("listed") == 0, "empty_list").when(crossed, "page_crossed_target_start_date").when(F.col("_no") >= F.col("_of"), "reached_page_count").otherwise("")
+    reason = F.when(F.col("listed") == 0, "empty_list").when(F.col("_no") >= F.col("_of"), "reached_page_count").when(crossed, "page_crossed_target_start_date").otherwise("")
     return listed.withColumn("stop_reason", reason).drop("_no", "_of")
 
 

@@ -94,7 +94,7 @@ def page_queue_expand(spark, sf):
     return rules.expand_pages(read_table(spark, sf, "nation"), F.col("n_nationkey") % 4 + 1, "n_nationkey").select("n_nationkey", "page_no", "page_id")
 
 
-@query("stop_reasons", f"SELECT unit, period, count(*) AS listed, CAST(min({_DAY}) AS VARCHAR) AS oldest, CASE WHEN min({_DAY}) < DATE '1995-06-01' THEN 'page_crossed_target_start_date' WHEN period - 1994 >= 5 THEN 'reached_page_count' ELSE '' END AS stop_reason FROM {ORDERS_SQL} GROUP BY unit, period")
+@query("stop_reasons", f"SELECT unit, period, count(*) AS listed, CAST(min({_DAY}) AS VARCHAR) AS oldest, CASE WHEN period - 1994 >= 5 THEN 'reached_page_count' WHEN min({_DAY}) < DATE '1995-06-01' THEN 'page_crossed_target_start_date' ELSE '' END AS stop_reason FROM {ORDERS_SQL} GROUP BY unit, period")
 def stop_reasons(spark, sf):
     o = unit_orders(spark, sf).withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn("no", F.col("period") - 1994).withColumn("of", F.lit(5))
     return rules.stop_reasons(o, ["unit", "period"], "day", "no", "of", "1995-06-01").withColumn("oldest", F.col("oldest").cast("string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import glob
+import json
 import tomllib
 from collections.abc import Iterable
 from pathlib import Path
@@ -77,6 +78,23 @@ def cached_pages(wanted: DataFrame, url: str, files: DataFrame) -> DataFrame:
     return both.withColumn("path", F.coalesce("_p1", "_p2")).drop("_n", "_s", "_p1", "_p2", "_name")
 
 
+def page_path(folder: str, source: str, batch: str, page: int) -> str:
+    """Where the raw list payload of a page is kept."""
+    return f"{folder.rstrip('/')}/{source}_{batch}_page_{page:03d}.json"
+
+
+def cached_payload(folder: str, source: str, batch: str, page: int, older: str | None = None) -> str | None:
+    """The kept payload of a page; for page 1 an older file may stand in; None if there is neither."""
+    options = [page_path(folder, source, batch, page), *([older] if older and page == 1 else [])]
+    return next((p for p in options if Path(p).exists()), None)
+
+
+def write_artifact(path: str | Path, value: object) -> None:
+    """A raw JSON artifact, folders made as needed."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for small results at the edge."""
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

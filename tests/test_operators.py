@@ -173,6 +173,27 @@ def test_client_keeps_failures(spark):
     assert rows(out, "q") == [("a", "A", None), ("b", None, "RuntimeError: no")]
 
 
+def test_labelling_resumes_and_dry_runs(spark):
+    answer = json.dumps({"choices": [{"message": {"content": json.dumps({"p_supply": 0.9, "p_other": 0.1, "ev": []})}}]})
+    todo = spark.createDataFrame([("a", "q1"), ("b", "q2"), ("c", "bad")], "id string, q string")
+    done = spark.createDataFrame([("a", answer)], "id string, raw_response string")
+
+    def client():
+        def ask(q: str) -> str:
+            if q == "q1":
+                raise AssertionError("asked twice")
+            return "no json" if q == "bad" else answer
+
+        return ask
+
+    out = labeling.label_rows(todo, "id", "q", client, ["p_supply", "p_other"], ["ev"], done, retries=0)
+    assert rows(out.select("id", "label_status", "p_supply"), "id") == [("a", "success", 0.9), ("b", "success", 0.9), ("c", "failed", 0.0)]
+    labelled = labeling.binary_labels(out, ["supply"])
+    assert rows(labelled.select("y_supply", "y_other"), "id") == [(1, 0), (1, 0), (0, 0)]
+    dry = labeling.label_rows(todo, "id", "q", None, ["p_supply"], ["ev"])
+    assert {r["label_status"] for r in dry.collect()} == {"dry_run"}
+
+
 def test_text_surface_and_flags(spark):
     df = spark.createDataFrame([("t", None, 0, 0.0), ("the", "x", 5, 0.9)], "term string, b string, records_hit int, record_hit_share double")
     assert [r[0] for r in df.select(crawl.text_surface("term", "b", separator="。")).collect()] == ["t。", "the。x"]
@@ -194,6 +215,8 @@ def test_sources(spark, tmp_path):
     assert io.resolve_globs(tmp_path, "*.csv; raw/*.json") == ["a.csv", "raw/1.json", "raw/2.json"]
     files = spark.createDataFrame([("/c/https_g_cn_1.html",)], "path string")
     wanted = spark.createDataFrame([("http://g.cn/1",), ("http://g.cn/2",)], "u string")
+    io.write_artifact(io.page_path(str(raw), "s", "b", 1), {"a": "é"})
+    assert io.cached_payload(str(raw), "s", "b", 1).endswith("s_b_page_001.json") and io.cached_payload(str(raw), "s", "b", 2, str(tmp_path / "a.csv")) is None
     assert rows(io.cached_pages(wanted, "u", files), "u") == [("http://g.cn/1", "/c/https_g_cn_1.html"), ("http://g.cn/2", None)]
 
 
