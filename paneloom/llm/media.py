@@ -21,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from paneloom.session import Scratch, release_shuffles, ship_package
 ALIGN = 64
 MIN_CHUNK, CUT_BITS, MAX_CHUNK = 2_048, 12, 16_384
 DICT_CHUNKS, DICT_BYTES, LEVEL = 3_000, 1 << 18, 6
+WAVES = 2
 SAMPLE_RATE = 8_000
 HEADER = 44
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
@@ -128,8 +130,8 @@ def train_dictionary(docs: DataFrame, rows: int, chunks: int = DICT_CHUNKS) -> b
     return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, found)) // 8), found).as_bytes()
 
 
-def media_payloads(docs: DataFrame, dictionary: bytes) -> DataFrame:
-    """(media_sha256, media_bytes, z): the compressed chunks of each medium, once for each task that meets it."""
+def media_payloads(docs: DataFrame, dictionary: bytes, wave: int = 0, waves: int = 1) -> DataFrame:
+    """(media_sha256, media_bytes, z): the compressed chunks of each medium of a wave (by its digest), once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
@@ -139,7 +141,7 @@ def media_payloads(docs: DataFrame, dictionary: bytes) -> DataFrame:
             for text in b.column(1).to_pylist():
                 media = to_wav(payload(text)[0])
                 d = hashlib.sha256(media).digest()
-                if d in seen:
+                if d[0] % waves != wave or d in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()  # bounds memory; the store drops what is met twice
@@ -169,12 +171,17 @@ def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
         .groupBy("media_sha256").agg(F.expr("collect_set(at) filter (where own)").alias("lent"), F.expr("collect_set(at) filter (where not own)").alias("borrowed"))
     )
     dictionary = train_dictionary(src, lists.count())
-    bodies = media_payloads(src, dictionary).groupBy("media_sha256").agg(F.first("media_bytes").alias("media_bytes"), F.first("z").alias("z"))
-    store = bodies.join(marks, "media_sha256", "left").selectExpr(
-        "media_sha256", "media_bytes", "size(z) as n_chunks",
-        "filter(transform(z, (x, i) -> struct(i as at, x as z, coalesce(array_contains(lent, i), false) as lent)), p -> not coalesce(array_contains(borrowed, p.at), false)) as parts",
-    )
-    return lists, shared, scratch.keep(store, "store"), dictionary
+    waves = []
+    for i in range(WAVES):  # payloads are shuffled a part at a time, so that few are on disk twice
+        bodies = media_payloads(src, dictionary, i, WAVES).groupBy("media_sha256").agg(F.first("media_bytes").alias("media_bytes"), F.first("z").alias("z"))
+        part = bodies.join(marks, "media_sha256", "left").selectExpr(
+            "media_sha256", "media_bytes", "size(z) as n_chunks",
+            "filter(transform(z, (x, i) -> struct(i as at, x as z, coalesce(array_contains(lent, i), false) as lent)), p -> not coalesce(array_contains(borrowed, p.at), false)) as parts",
+        )
+        waves.append(scratch.keep(part, "store"))
+        del bodies, part
+        release_shuffles(docs.sparkSession)
+    return lists, shared, reduce(DataFrame.unionByName, waves), dictionary
 
 
 def _places(lists: DataFrame) -> DataFrame:
@@ -215,8 +222,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "media")
     lists, shared, store, dictionary = store_media(docs, scratch)
     release_shuffles(spark)
-    back = scratch.keep(read_media(lists, shared, store, dictionary), "read")
-    scratch.drop(store)
+    back = read_media(lists, shared, store, dictionary)
     rows = lists.select("doc_id", "n_bytes", F.col("payload_sha256").alias("written_sha256"), "media_sha256", "media_bytes")
     joined = rows.join(back, "media_sha256", "left")
     intact = F.col("payload_sha256").eqNullSafe(F.col("written_sha256"))
