@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -51,7 +53,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one (local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_paneloom_root", None)
     if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="paneloom-shared-")
+        folder = tempfile.mkdtemp(prefix="paneloom-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.sparkContext._paneloom_root = root
     return root.rstrip("/")
 
