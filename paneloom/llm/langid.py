@@ -6,8 +6,8 @@ the family with most votes wins (ties: larger sum of margins). Within it, one ma
 languages decides likewise. The score is the product of the winner's mean logistic margin at both steps.
 
 Machines are fitted on the driver from a sample of at most ``max_rows`` labelled rows, equally many of each
-language as far as there are as many (rows with the smallest hash of doc_id); this bound is a parameter and
-holds at any corpus size. Prediction reads whole texts in one map-only pass and sees the text alone.
+language as far as there are as many (rows with the smallest hash); this bound is a parameter and holds at any
+corpus size. Prediction reads whole texts in one map-only pass and sees the text alone.
 
 ``und`` (score 0): the text is null, or holds no letter, or nothing could be learned. With a single learned
 language that one is predicted. A language outside the table of families is a family of its own. Rows without
@@ -139,7 +139,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Hierarchy | None:
     if not n:
         return None
     each = max(1, max_rows // len(n))
-    order = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
+    order = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_000))
     share = F.create_map(*(F.lit(v) for lang, k in n.items() for v in (lang, min(1.0, 1.3 * each / k + 20 / k))))
     picked = rows.withColumn("h", order).where(F.col("h") < share[F.col("lang")] * 1_000_000).select("lang", "h", "text")
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Hierarchy | None:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(body, pa.binary())], ["lang", "h", "c"])
 
     # about 16 KB a row and 1.3 * max_rows rows, whatever the size of the corpus
-    found = sorted(((r["lang"], r["h"], bytes(r["c"])) for r in picked.mapInArrow(features, "lang string, h bigint, c binary").toLocalIterator()))
+    found = sorted(((r["lang"], r["h"], bytes(r["c"])) for r in picked.mapInArrow(features, "lang string, h bigint, c binary").limit(3 * max_rows).toLocalIterator()))
     seen: dict[str, int] = defaultdict(int)
     kept = []
     for lang, _, c in found:
