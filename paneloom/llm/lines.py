@@ -130,3 +130,25 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SH
     )
 
 
+
+
+def oracle_sql(min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT) -> str:
+    """The same rows with the normalised lines themselves in place of their hashes."""
+    space = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i + 1], w[i + 2], w[i + 3]) AS n FROM (SELECT rid, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat FROM (SELECT rid, i FROM g WHERE n > 1), range(3) r(k) GROUP BY rid),
+li AS (SELECT rid, source, t, line, regexp_replace(regexp_replace(regexp_replace(lower(line), '{space}+', ' ', 'g'), '^ +| +$', '', 'g'), '[0-9]', '0', 'g') AS nl, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+ln AS (SELECT * FROM li WHERE lw > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM ln GROUP BY rid),
+lim AS (SELECT source, greatest({min_docs}, {host_share} * count(DISTINCT t)) AS lim FROM d GROUP BY source),
+com AS (SELECT source, nl FROM (SELECT source, nl, count(DISTINCT t) AS docs FROM ln GROUP BY source, nl) JOIN lim USING (source) WHERE docs > lim),
+gone AS (SELECT rid, sum(lw) AS n_common FROM ln JOIN com USING (source, nl) GROUP BY rid),
+f AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_common, 0) AS BIGINT) AS n_common_words
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, n_common_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_common_words >= n_words * {min_left} AS kept
+FROM f
+"""

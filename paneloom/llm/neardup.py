@@ -211,7 +211,7 @@ def _candidates(e: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.n
     joined to the first of its run. Of these the smallest and the largest of each size step of a tenth stand for
     the holders: whatever may link with one left out may link with one of those.
     """
-    e = e[np.lexsort((e["fp"], e["n"] & ~_THIN, e["sig"]))]
+    e = e[np.lexsort((~e["n"] & _THIN, e["fp"], e["n"] & ~_THIN, e["sig"]))]  # of equal entries a marked one stays
     none = np.zeros((0, 2), np.uint64)
     if not len(e):
         return e, none, none
@@ -397,3 +397,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = first.unionByName(rows.where("c is null").select("doc_id", "th").distinct()).selectExpr("doc_id as _id", "th as _th")
     held = docs.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_text", F.xxhash64("text"))
     return held.join(chosen, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """The same rows from all pairs of documents that share a shingle, and the closure of their links."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, md5(array_to_string(w[i + 1 : i + {SHINGLE}], ' ')) AS h FROM (SELECT rid, w, unnest(range(greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS (SELECT a.rid AS x, b.rid AS y FROM s a JOIN s b USING (h) JOIN n na ON na.rid = a.rid JOIN n nb ON nb.rid = b.rid WHERE a.rid <> b.rid GROUP BY a.rid, b.rid, na.n, nb.n HAVING 100 * count(*) >= {PERCENT} * (na.n + nb.n - count(*))),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(e.doc_id) FROM r JOIN d e ON e.rid = r.y WHERE r.x = d.rid), doc_id)) AS component_id
+FROM d LEFT JOIN n USING (rid)
+"""

@@ -68,5 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_license_join": licenses.oracle_sql(),
+    "op6_parity_join": neardup.oracle_sql(),
+    "op7_line_frequency": lines.oracle_sql(),
+    "op9_sparse_suffixes": suffixes.oracle_sql(),
     "op5_shard_compaction": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
 }

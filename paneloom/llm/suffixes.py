@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def _repeated_grams(src: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
 
     def neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted rows (gram, fp, pos, flag): the first of each gram, flagged if it has equals, and the others."""
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.lexsort((1 - rows[:, 3].astype(np.int64), rows[:, 2], rows[:, 1], rows[:, 0]))]  # of equal rows a flagged one stays
         rows = rows[np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])] if len(rows) else rows
         new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, bool)
         first, at = rows[new].copy(), np.flatnonzero(new)
@@ -113,7 +114,7 @@ def _repeated_grams(src: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
             full, blobs = _blobs(first, first[:, 0], parts)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(blobs, pa.binary())], names)
             if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.array((rest[:, 0] % np.uint64(parts)).astype(np.int32)), _i64(rest[:, 1]), _i64(rest[:, 2]), pa.nulls(len(rest), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array((tc.mix(rest[:, 1] + rest[:, 2]) % np.uint64(parts)).astype(np.int32)), _i64(rest[:, 1]), _i64(rest[:, 2]), pa.nulls(len(rest), pa.binary())], names)
 
         for b in batches:
             for words in tc.texts_words(b.column(0), lower=True):
@@ -166,7 +167,7 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
 
     def neighbours(rows: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Rows (window, ord, fp, start, flag, gram) sorted: the first of each window, flagged if it has equals; the others as (fp, start, source, later)."""
-        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.lexsort((1 - rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]  # of equal rows a flagged one stays
         rows = rows[np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])] if len(rows) else rows
         new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, bool)
         at = np.flatnonzero(new)
@@ -275,10 +276,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """A row for each maximal repeated span: doc_id, start_word, n_words, source_doc_id (smallest known holder), n_removable."""
+    """A row for each maximal repeated span: doc_id, start_word, n_words, n_removable (its words that an earlier place holds)."""
     found = repeated_spans(docs)
     cut = "aggregate(removable, 0L, (a, r) -> a + greatest(0L, least(r.start + r.words, s.start + s.words) - greatest(r.start, s.start)))"
-    return found.select("doc_id", "removable", F.explode("spans").alias("s")).selectExpr("doc_id", "s.start as start_word", "s.words as n_words", f"nullif(s.source, {_LAST}L) as source_doc_id", f"{cut} as n_removable")
+    return found.select("doc_id", "removable", F.explode("spans").alias("s")).selectExpr("doc_id", "s.start as start_word", "s.words as n_words", f"{cut} as n_removable")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -304,3 +305,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     joined = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left")
     return joined.select(*(F.when(F.col("_gone").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("_gone"))).alias("text") if c == "text" else docs[c] for c in docs.columns))
+
+
+def oracle_sql() -> str:
+    """The same rows from all windows of the whole table."""
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+v AS (SELECT rid, i, md5(array_to_string(w[i + 1 : i + {LEAST}], ' ')) AS h FROM (SELECT rid, w, unnest(range(len(w) - {LEAST - 1})) AS i FROM d WHERE len(w) >= {LEAST})),
+c AS (SELECT rid, i, row_number() OVER (PARTITION BY h ORDER BY rid, i) > 1 AS later, count(*) OVER (PARTITION BY h) AS n FROM v),
+r AS (SELECT * FROM c WHERE n > 1),
+x AS (SELECT rid, i, later, sum(CASE WHEN i <= before + {LEAST} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS span FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) AS before FROM r)),
+y AS (SELECT rid, span, min(i) AS a, max(i) + {LEAST} AS b FROM x GROUP BY ALL),
+z AS (SELECT rid, span, i, least(i + {LEAST}, coalesce(lead(i) OVER (PARTITION BY rid, span ORDER BY i), i + {LEAST})) - i AS gain FROM x WHERE later)
+SELECT doc_id, CAST(a AS BIGINT) AS start_word, CAST(b - a AS BIGINT) AS n_words, CAST(coalesce((SELECT sum(gain) FROM z WHERE z.rid = y.rid AND z.span = y.span), 0) AS BIGINT) AS n_removable
+FROM y JOIN d USING (rid)
+"""

@@ -56,6 +56,12 @@ def test_components_against_all_pairs(spark):
         assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
 
 
+def test_components_with_copies_in_many_tasks(spark):
+    texts = corpus(3) * 2
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts).repartition(17)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
+
+
 def test_large_family_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(5)
@@ -171,6 +177,18 @@ def test_spans_against_all_windows(spark):
         assert removable == [int(x.sum()) for x in later]
 
 
+def test_spans_with_copies_in_many_tasks(spark):
+    for seed in (5, 6):
+        texts = passages(seed) * 2
+        every, later = brute_windows(texts)
+        got, removable = [np.zeros(len(x), bool) for x in every], [0] * len(texts)
+        for r in suffixes.repeats(frame(spark, texts).repartition(17)).collect():
+            got[r["doc_id"]][r["start_word"] : r["start_word"] + r["n_words"]] = True
+            removable[r["doc_id"]] += r["n_removable"]
+        assert all((a == b).all() for a, b in zip(got, every, strict=True))
+        assert removable == [int(x.sum()) for x in later]
+
+
 def test_remove_repeats_keeps_the_first(spark):
     texts = passages(4) + ODD
     _, later = brute_windows(texts)
