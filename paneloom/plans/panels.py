@@ -34,7 +34,7 @@ def year_trend_pivot(spark, sf):
     return stats.pivot_counts(unit_orders(spark, sf), "period", "o_orderpriority", _PRIORITIES)
 
 
-@query("unit_distribution_ranked", f"SELECT unit, orders, round(orders / sum(orders) OVER (), 6) AS share, row_number() OVER (ORDER BY orders DESC, unit) AS rank FROM (SELECT unit, count(*) AS orders FROM {ORDERS_SQL} GROUP BY unit)")
+@query("unit_distribution_ranked", f"SELECT unit, orders, round(orders / sum(orders) OVER (), 6) AS share, CAST(row_number() OVER (ORDER BY orders DESC, unit) AS INTEGER) AS rank FROM (SELECT unit, count(*) AS orders FROM {ORDERS_SQL} GROUP BY unit)")
 def unit_distribution_ranked(spark, sf):
     from pyspark.sql import Window
 
@@ -115,7 +115,7 @@ def robust_z_outliers(spark, sf):
     return panel.outliers(scored, ["orders", "mean_value"], limit=2.0)
 
 
-@query("dense_rank_units", f"SELECT unit, orders, dense_rank() OVER (ORDER BY orders DESC) AS rank FROM (SELECT unit, count(*) AS orders FROM {ORDERS_SQL} GROUP BY unit)")
+@query("dense_rank_units", f"SELECT unit, orders, CAST(dense_rank() OVER (ORDER BY orders DESC) AS INTEGER) AS rank FROM (SELECT unit, count(*) AS orders FROM {ORDERS_SQL} GROUP BY unit)")
 def dense_rank_units(spark, sf):
     return stats.dense_ranked(unit_orders(spark, sf).groupBy("unit").agg(F.count(F.lit(1)).alias("orders")), "orders")
 
@@ -218,3 +218,24 @@ def panel_quality(spark, sf):
 def key_diff(spark, sf):
     frame = panel.skeleton(read_table(spark, sf, "nation").select(F.col("n_name").alias("unit")), YEARS, "period").withColumn("period", F.col("period").cast("int"))
     return keys.key_difference(frame, unit_orders(spark, sf).where(SPARSE), ["unit", "period"])
+
+
+_LISTED = [("orders", "records"), ("orders", "valid_count"), ("log_orders", "sum_p_supply"), ("orders", "supply_count"), ("records", "filtered_sum_p_demand")]
+_LISTED_COLS = sorted({c for p in _LISTED for c in p})
+_LISTED_RANKS = "(SELECT " + ", ".join(f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS {v}" for v in _LISTED_COLS) + f" FROM {_PROB_SQL})"
+
+
+@query("source_model_correlation", " UNION ALL ".join(f"SELECT p.left_variable, p.right_variable, pearson, spearman FROM ({_pair_sql(a, b, _PROB_SQL)}) p, ({_pair_sql(a, b, _LISTED_RANKS, 'spearman')}) s" for a, b in _LISTED))
+def source_model_correlation(spark, sf):
+    p = _prob_panel(spark, sf).select(*_LISTED_COLS)
+    chosen = spark.createDataFrame(_LISTED, "left_variable string, right_variable string")
+    pairs = stats.pearson(p, _LISTED_COLS, "matrix").join(F.broadcast(chosen), ["left_variable", "right_variable"])
+    both = stats.spearman(p, _LISTED_COLS)
+    turned = both.unionByName(both.select(F.col("right_variable").alias("left_variable"), F.col("left_variable").alias("right_variable"), "spearman"))
+    return pairs.join(turned, ["left_variable", "right_variable"])
+
+
+@query("panel_coverage", f"SELECT period, count(*) AS cells, count(*) FILTER (orders = 0) AS empty_cells, CAST(sum(orders) AS BIGINT) AS orders, round(avg(CASE WHEN orders > 0 THEN 1.0 ELSE 0.0 END), 6) AS filled_share FROM {cells_sql(SPARSE)} GROUP BY period")
+def panel_coverage(spark, sf):
+    sparse = cells(spark, sf, unit_orders(spark, sf).where(SPARSE))
+    return sparse.groupBy("period").agg(F.count(F.lit(1)).alias("cells"), count_if(F.col("orders") == 0).alias("empty_cells"), F.sum("orders").alias("orders"), F.round(F.avg(F.when(F.col("orders") > 0, 1.0).otherwise(0.0)), 6).alias("filled_share"))

@@ -209,3 +209,15 @@ def vocabulary_build(spark, sf):
     part, customer = read_table(spark, sf, "part"), read_table(spark, sf, "customer")
     sources = [part.select(F.col("p_type").alias("term"), F.lit("part").alias("source"), F.col("p_brand").alias("category")), customer.select(F.col("c_mktsegment").alias("term"), F.lit("customer").alias("source"), (F.col("c_nationkey") % 3).cast("string").alias("category"))]
     return tfidf.vocabulary(sources, "term", ["BUILDING"])
+
+
+@query("revision_effect", f"SELECT lang, CAST(sum(a.supply_hits) AS BIGINT) AS before_hits, CAST(sum(b.supply_hits) AS BIGINT) AS after_hits, round(coalesce((sum(b.supply_hits) - sum(a.supply_hits))::DOUBLE / nullif(sum(a.supply_hits), 0), 0.0), 6) AS relative_change FROM {FEATURES} a JOIN (SELECT doc_id, supply_hits FROM {_LOWER}) b USING (doc_id) GROUP BY lang")
+def revision_effect(spark, sf):
+    lowered = dictionary.row_features(documents(spark, sf).withColumn("text", F.lower("text")), "text", CATEGORIES).select("doc_id", F.col("supply_hits").alias("after"))
+    sums = features(spark, sf).join(lowered, "doc_id").groupBy("lang").agg(F.sum("supply_hits").alias("before_hits"), F.sum("after").alias("after_hits"))
+    return sums.withColumn("relative_change", F.round(dictionary.revision_effect(F.col("before_hits"), F.col("after_hits")), 6))
+
+
+@query("domain_term_totals", f"SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS documents, CAST(max(n) AS BIGINT) AS most FROM {_COUNTS} GROUP BY term")
+def domain_term_totals(spark, sf):
+    return _weights(spark, sf)[2].groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("documents"), F.max("n").alias("most"))
