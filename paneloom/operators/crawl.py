@@ -17,14 +17,17 @@ from paneloom.session import ship_package
 # List payload as declared by its source.
 PAYLOAD = "struct<result: struct<data: struct<list: array<struct<pub_url: string, maintitle: string, fwzh: string, cwrq: string, publish_time: string>>, pager: struct<pageNo: int, pageCount: int, total: int, pageSize: int>>>>"
 
-# Words of official titles, and agencies by how a title begins.
+# Where the text of a page stands, words of official titles, agencies by how a title or a document
+# number begins, the site's suffix, labels, and the forms of dates and of links to files.
+SELECTORS = (".pages_content", ".article", ".content", ".TRS_Editor", "#UCAP-CONTENT", "article")
 DOCUMENT_WORDS = ["通知", "意见", "办法", "规划", "方案", "公告", "通告"]
 AGENCIES = [("国务院办公厅", "国务院办公厅"), ("国务院", "国务院")]
+NUMBER_AGENCIES = [("国令", "国务院")]
 SITE_SUFFIX = "_中国政府网"
 SUBJECT_LABEL = "主题分类"
 ATTACHMENT_WORD = "附件"
 DATE = re.compile(r"(?:发布时间|发布日期|成文日期)[:：\s]*([0-9]{4}[-年][0-9]{1,2}[-月][0-9]{1,2})")
-ATTACHMENT = re.compile(r"\.(?:pdf|docx?|xlsx?|zip|rar|wps|ofd)(?:$|\?)", re.I)
+ATTACHMENT = re.compile(r"\.(pdf|doc|docx|xls|xlsx|wps|zip)(?:$|[?#])", re.I)
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style"}
@@ -149,22 +152,29 @@ def parse_page(html: str | None, url: str | None, selectors: tuple[str, ...], le
 PAGE = "struct<title: string, agency: string, body: string, publish_date: string, subject_categories: array<string>, attachment_urls: array<string>>"
 
 
-def parse_details(pages: DataFrame, key: str, url: str, html: str, selectors: tuple[str, ...] = ("article", "#content", ".content", "body"), short: int = 80, review: int = 200) -> DataFrame:
-    """One record for each page: parsed fields, ids, document type, parse and review status."""
+def parse_details(pages: DataFrame, key: str, url: str, html: str, selectors: tuple[str, ...] = SELECTORS, short: int = 80, review: int = 200, title: str | None = None, number: str | None = None, listed_day: str | None = None) -> DataFrame:
+    """One record for each page: parsed fields, ids, document type, parse and review status.
+
+    title, number and listed_day name columns of the list the page was found on; they fill what the page lacks.
+    """
     ship_package(pages.sparkSession)
 
     @F.pandas_udf(PAGE)
     def parse(h: pd.Series, u: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_page(x, y, selectors) for x, y in zip(h, u, strict=True)], columns=["title", "agency", "body", "publish_date", "subject_categories", "attachment_urls"])
 
-    out = pages.select(key, F.col(url).alias("source_url"), parse(F.col(html), F.col(url)).alias("p")).select(key, "source_url", "p.*")
-    named = F.coalesce(*(F.when(F.startswith("title", F.lit(a)), F.lit(b)) for a, b in AGENCIES), F.nullif(F.col("agency"), F.lit("")))
+    hint = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
+    out = pages.select(key, F.col(url).alias("source_url"), hint(title).alias("_title"), hint(number).alias("_number"), hint(listed_day).alias("_day"), parse(F.col(html), F.col(url)).alias("p")).select(key, "source_url", "_title", "_number", "_day", "p.*")
+    out = out.withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("_title"))).withColumn("publish_date", F.coalesce("publish_date", F.nullif(F.substring_index("_day", " ", 1), F.lit(""))))
+    by_title = lambda c: [F.when(F.startswith(c, F.lit(a)), F.lit(b)) for a, b in AGENCIES]
+    by_number = [F.when(F.startswith("_number", F.lit(a)), F.lit(b)) for a, b in NUMBER_AGENCIES]
+    named = F.coalesce(*by_title("title"), *by_number, F.nullif(F.col("agency"), F.lit("")), *by_title("_title"))
     kind = F.when(F.rlike("title", F.lit("|".join(DOCUMENT_WORDS))), "policy_document").when(F.size("attachment_urls") > 0, "attachment_page").otherwise("needs_review")
     return out.withColumns({
         "agency": named, "document_type": kind, "policy_id": stable_id_sha1("source_url", "page_"), "text_length": F.length("body").cast("bigint"),
         "parse_status": F.when(F.length("body") >= short, "success").otherwise("partial"), "review_status": F.when(F.length("body") < review, "needs_review").otherwise("accepted"),
-        "text_hash": F.sha2(F.col("body").cast("binary"), 256),
-    })
+        "text_hash": F.when(F.col("body") != "", F.sha2(F.col("body").cast("binary"), 256)),
+    }).drop("_title", "_number", "_day")
 
 
 def parse_list_payloads(df: DataFrame, payload: str, base_url: str, prefix: str = "candidate_") -> DataFrame:

@@ -142,6 +142,12 @@ def test_page_status(spark):
     assert rows(out.select("page_id", "parse_status", "review_status", "document_type"), "page_id") == [(1, "success", "accepted", "policy_document"), (2, "partial", "needs_review", "needs_review"), (3, "partial", "needs_review", "needs_review")]
 
 
+def test_page_takes_what_it_lacks_from_the_list(spark):
+    df = spark.createDataFrame([(1, "https://g.cn/1", "<p>text</p>", "某条例", "国令第1号", "2024-03-02 10:00"), (2, "https://g.cn/2", "<h1>国务院办公厅关于某事</h1>", "x", None, None)], "page_id int, url string, html string, t string, n string, d string")
+    out = crawl.parse_details(df, "page_id", "url", "html", title="t", number="n", listed_day="d")
+    assert rows(out.select("title", "agency", "publish_date"), "page_id") == [("某条例", "国务院", "2024-03-02"), ("国务院办公厅关于某事", "国务院办公厅", None)]
+
+
 def test_answers(spark):
     obj = json.dumps({"p_supply": 0.9, "p_other": "x", "ev": [" a ", ""], "is_srdi_related": True})
     wrap = lambda c, r=None: json.dumps({"choices": [{"message": {"content": c, "reasoning_content": r}}]})
