@@ -105,3 +105,33 @@ def duplicate_count(df: DataFrame, column: str) -> DataFrame:
 def text_profile(df: DataFrame, column: str, long_from: int = 100) -> DataFrame:
     n = F.length(F.coalesce(F.col(column), F.lit("")))
     return df.agg(F.round(F.avg(n), 6).alias("mean_length"), F.max(n).cast("bigint").alias("max_length"), F.round(F.avg(F.when(n > long_from, 1.0).otherwise(0.0)), 6).alias("long_share"))
+
+
+def quantiles_by_sort(df: DataFrame, column: str, probabilities: Sequence[float], partitions: int | None = None) -> dict[float, float | None]:
+    """Exact quantiles (linear between neighbours) of a column too large for one aggregate's buffer.
+
+    Values are range-sorted over the cluster; counts of the ranges say which range and place hold each wanted rank,
+    and only those rows reach the driver. ``describe`` keeps all distinct values of a column in one buffer; use this
+    where they are many.
+    """
+    from paneloom.session import Scratch
+
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    ranges = Scratch(spark, "quantiles").keep(values.repartitionByRange(n_parts, "x").withColumn("rng", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["rng"], r["n"]) for r in ranges.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each range
+    total = sum(n for _, n in sizes)
+    if not total:
+        return dict.fromkeys(probabilities)
+    at = {p: (total - 1) * p for p in probabilities}
+    ranks = {k for h in at.values() for k in (int(h), min(int(h) + 1, total - 1))}
+    places, before = [], 0
+    for rng, n in sizes:
+        places += [(rng, k - before + 1, k) for k in ranks if before <= k < before + n]
+        before += n
+    wanted = spark.createDataFrame(places, "rng int, place int, rank bigint")
+    numbered = ranges.join(F.broadcast(wanted.select("rng").distinct()), "rng").withColumn("place", F.row_number().over(Window.partitionBy("rng").orderBy("x")))
+    found = {r["rank"]: r["x"] for r in numbered.join(F.broadcast(wanted), ["rng", "place"]).select("rank", "x").collect()}
+    low = {p: found[int(h)] for p, h in at.items()}
+    return {p: low[p] + (found[min(int(h) + 1, total - 1)] - low[p]) * (h - int(h)) for p, h in at.items()}

@@ -116,6 +116,16 @@ def test_statistics(spark):
     assert dup.agg(quality.duplicates_of("x")).first()[0] == 2
 
 
+def test_quantiles_by_sort(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 40, 501).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = stats.quantiles_by_sort(df, "x", [0.0, 0.25, 0.333, 0.5, 0.75, 1.0], 7)
+    assert got == pytest.approx({p: np.quantile(x, p) for p in got})
+    assert stats.quantiles_by_sort(df.where("x < 0"), "x", [0.5]) == {0.5: None}
+
+
 def test_gates_stop(spark):
     report = rules.gates(spark, [("a", True, "1"), ("b", False, "2")])
     with pytest.raises(ValueError, match="b"):
