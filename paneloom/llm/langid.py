@@ -30,7 +30,7 @@ from paneloom.llm import textcore as tc
 from paneloom.session import ship_package
 
 HALF = 4_096  # buckets for trigrams, and as many for words
-MAX_ROWS = 4_000
+MAX_ROWS = 2_000
 FOLDS, HELD = 4, 2
 
 # Language families by ISO 639-1 code.
@@ -53,7 +53,7 @@ def family_of(lang: str) -> str:
 def counts(column: pa.Array) -> Iterator[np.ndarray]:
     """Dense counts of the hashed features of each text."""
     data, offsets = tc.utf8(column)
-    for lo, hi in tc.slices(column, 1 << 20):
+    for lo, hi in tc.slices(column):
         off = offsets[lo : hi + 1]
         starts, ends, first = tc.word_spans(data, off)
         words = (tc.word_hashes(data, starts, ends, lower=True) % np.uint64(HALF)).astype(np.int64) + HALF
@@ -71,16 +71,17 @@ def scaled(c: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12) -> np.ndarray:
-    """Weights of a linear SVM (hinge loss) for labels +1 and -1, by dual coordinate descent."""
-    rng, alpha, w = np.random.default_rng(3), np.zeros(len(x)), np.zeros(x.shape[1], np.float32)
-    q = (x * x).sum(axis=1)
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12) -> np.ndarray:
+    """Weights of a linear SVM (hinge loss) on those rows of x, for labels +1 and -1, by dual coordinate descent."""
+    rng, alpha, w = np.random.default_rng(3), np.zeros(len(rows)), np.zeros(x.shape[1], np.float32)
+    q = [float(x[i] @ x[i]) for i in rows]
     cost = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * float(w @ x[i]) - 1) / q[i], 0.0), cost[i])
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            new = min(max(alpha[i] - (y[i] * float(w @ row) - 1) / q[i], 0.0), cost[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * row
                 alpha[i] = new
     return w
 
@@ -101,7 +102,7 @@ class Hierarchy:
             for a, b in combinations(values, 2):
                 rows = np.flatnonzero((labels == a) | (labels == b))
                 self.pairs.append((level, a, b))
-                weights.append(fit_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0)))
+                weights.append(fit_svm(x, rows, np.where(labels[rows] == a, 1.0, -1.0)))
         self.weights = np.stack(weights, axis=1) if weights else np.zeros((2 * HALF + 1, 0), np.float32)
 
     def _duel(self, level: str, values: list[str], margins: dict) -> tuple[str, float]:
@@ -145,10 +146,13 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Hierarchy | None:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            body = [np.minimum(c, 65_535).astype("<u2").tobytes() for c in counts(b.column(2))]
+            body = []
+            for c in counts(b.column(2)):
+                at = np.flatnonzero(c)
+                body.append(np.stack([at, np.minimum(c[at], 65_535)]).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(body, pa.binary())], ["lang", "h", "c"])
 
-    # about 16 KB a row and 1.3 * max_rows rows, whatever the size of the corpus
+    # a few KB a row and about 1.3 * max_rows rows, whatever the size of the corpus
     found = sorted(((r["lang"], r["h"], bytes(r["c"])) for r in picked.mapInArrow(features, "lang string, h bigint, c binary").limit(3 * max_rows).toLocalIterator()))
     seen: dict[str, int] = defaultdict(int)
     kept = []
@@ -158,7 +162,13 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Hierarchy | None:
             kept.append((lang, c))
     if not kept:
         return None
-    return Hierarchy(scaled(np.stack([np.frombuffer(c, "<u2") for _, c in kept])), [lang for lang, _ in kept])
+    x = np.empty((len(kept), 2 * HALF + 1), np.float32)
+    for i, (_, c) in enumerate(kept):
+        at, n = np.frombuffer(c, "<u2").reshape(2, -1)
+        dense = np.zeros((1, 2 * HALF), np.int64)
+        dense[0, at] = n
+        x[i] = scaled(dense)[0]
+    return Hierarchy(x, [lang for lang, _ in kept])
 
 
 def has_letter(text: str | None) -> bool:

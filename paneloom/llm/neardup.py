@@ -169,6 +169,7 @@ def _facts(src: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], _i64(np.array(n, np.int64)), _i64(np.array(fp, np.uint64)), none, pa.array(sketch, pa.binary())], names)
+        tc.tidy()
         for k, part in enumerate(np.split(cells, CELLS_PARTS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names)
@@ -289,18 +290,21 @@ def _families(src: DataFrame, facts: DataFrame, counts: np.ndarray, parts: int,
                 own["sig"], own["fp"], own["n"] = sig, fp, len(s)
                 entries.append(own)
                 size += len(sig)
-                if size > 1_500_000:
+                if size > 400_000:
                     yield from flush()
                     size = 0
         if entries:
             yield from flush()
+        tc.tidy()
 
     def reduce(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_py(), ENTRY) for x in group.column("blob").combine_chunks() if x.is_valid]
         _, pairs, edges = _candidates(np.concatenate(blobs) if blobs else np.zeros(0, ENTRY))
         old = group.filter(pa.compute.is_valid(group.column("a"))).select(["a", "b", "pair"])
         new = [pa.table({"a": x.view(np.int64)[:, 0], "b": x.view(np.int64)[:, 1], "pair": pa.array([kind] * len(x), pa.bool_())}) for x, kind in ((pairs, True), (edges, False)) if len(x)]
-        return pa.concat_tables([old.cast(EDGE), *(t.cast(EDGE) for t in new)])
+        out = pa.concat_tables([old.cast(EDGE), *(t.cast(EDGE) for t in new)])
+        tc.tidy()
+        return out
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,7 +330,7 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
     inside = family.join(reps, family["id"] == reps["fp"]).select("label", "fp", "rep", "n")
     band = F.length(F.bin("n")).alias("band")
     sizes = inside.groupBy("label", band).agg(F.count("fp").alias("m"), F.sum("n").alias("elements"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("elements") / 2_000_000)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("elements") / 1_000_000)).cast("int")
     plan = sizes.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks))).alias("nb"), F.sum("m").alias("m")).where("m > 1").drop("m")
     placed = inside.withColumn("band", band).join(plan, "label").withColumn("block", F.expr("cast(pmod(xxhash64(fp), nb[band]) as int)"))
 
@@ -360,6 +364,7 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
         left, right = (np.flatnonzero(side & k).tolist() for k in (1, 2))
         fps = group["fp"].to_numpy()
         links = spanning_links(left, right, body) if left and right else []
+        tc.tidy()
         return pd.DataFrame({"a": [fps[i] for i, _ in links], "b": [fps[j] for _, j in links]}, dtype="int64")
 
     return scratch.keep(paired.groupBy("label", "low", "cross", "lo", "hi").applyInPandas(verify, "a bigint, b bigint"), "links")
@@ -373,9 +378,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     facts, cells = _facts(src, scratch)
     counts = _cell_counts(cells)
-    # emitted signatures are about a third of the shingles; a part holds a million of them or so
+    # emitted signatures are about a third of the shingles; a part holds some 400,000 of them
     total = facts.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.35 / 1_000_000) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.35 / 400_000) + 1)
     links = _verified(src, facts, components(_families(src, facts, counts, parts, scratch), scratch), scratch)
     release_shuffles(spark)
     labels = components(links, scratch).withColumnRenamed("label", "component")

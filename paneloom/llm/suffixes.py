@@ -128,11 +128,12 @@ def _repeated_grams(src: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
                 pos = np.unique(at)
                 held.append(np.stack([grams[pos], np.full(len(pos), fp, np.uint64), pos.astype(np.uint64), np.zeros(len(pos), np.uint64)], axis=1))
                 size += len(pos)
-                if size > 1_500_000:
+                if size > 400_000:
                     yield from flush()
                     size = 0
         if held:
             yield from flush()
+        tc.tidy()
 
     def reduce(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 4) for x in group.column("blob").combine_chunks() if x.is_valid]
@@ -140,6 +141,7 @@ def _repeated_grams(src: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
         old = group.filter(pa.compute.is_valid(group.column("fp")))
         hit = np.concatenate([first[first[:, 3] > 0, 1:3], rest[:, 1:3]]).view(np.int64)
         pairs = np.concatenate([hit, np.stack([old.column("fp").to_numpy(), old.column("pos").to_numpy()], axis=1).reshape(-1, 2)])
+        tc.tidy()
         return pa.table({"fp": pairs[:, 0], "pos": pairs[:, 1]})
 
     shipped = src.select("text").mapInArrow(emit, "part int, fp bigint, pos bigint, blob binary")
@@ -206,11 +208,12 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
                 full = lambda v: np.full(len(s), v, np.int64)
                 held.append(np.stack([w, full(_LAST if reps[i] is None else reps[i]), full(fps[i]), s, full(0), g[at[s]].view(np.int64)], axis=1))
                 size += len(s)
-                if size > 1_000_000:
+                if size > 300_000:
                     yield from flush()
                     size = 0
         if held:
             yield from flush()
+        tc.tidy()
 
     def reduce(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 6) for x in group.column("blob").combine_chunks() if x.is_valid]
@@ -218,6 +221,7 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
         kept = first[first[:, 4] > 0]
         runs = _runs(*(np.concatenate([a, b]) for a, b in zip(rest, (kept[:, 2], kept[:, 3], kept[:, 1], np.zeros(len(kept), np.int64)), strict=True)))
         old = group.filter(pa.compute.is_valid(group.column("fp"))).select(["fp", "s0", "s1", "source", "later"])
+        tc.tidy()
         return pa.concat_tables([pa.Table.from_batches([runs]), old.cast(runs.schema)])
 
     fetched = src.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "fp", "rep", "pos").mapInArrow(emit, schema)
@@ -247,9 +251,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     facts = _facts(src, scratch)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = facts.agg(F.sum("n_words")).first()[0] or 0
-    grams = _repeated_grams(src, max(least, int(total * 0.08 / 1_000_000) + 1), scratch)
+    grams = _repeated_grams(src, max(least, int(total * 0.08 / 400_000) + 1), scratch)
     release_shuffles(spark)
-    windows = _extend(src, facts, grams, max(least, int(grams.count() * 14 / 1_000_000) + 1), scratch)
+    windows = _extend(src, facts, grams, max(least, int(grams.count() * 14 / 300_000) + 1), scratch)
     scratch.drop(grams)
     release_shuffles(spark)
     span = "array<struct<start: bigint, words: bigint, source: bigint>>"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, as idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -41,7 +52,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes; a longer text stands alone."""
     if len(column) == 0:
         return
