@@ -159,11 +159,11 @@ def test_page_takes_what_it_lacks_from_the_list(spark):
 
 
 def test_answers(spark):
-    obj = json.dumps({"p_supply": 0.9, "p_other": "x", "ev": [" a ", ""], "is_srdi_related": True})
+    obj = json.dumps({"p_supply": 0.9, "p_other": "x", "ev": [" a ", ""], "is_related": True})
     wrap = lambda c, r=None: json.dumps({"choices": [{"message": {"content": c, "reasoning_content": r}}]})
     raws = [wrap(obj), wrap(f"```json\n{{\"p_supply\": 0}}\n```\n```json\n{obj}\n```"), wrap("", "thinking " + obj), wrap("none"), "{bad", wrap(json.dumps({"p_supply": 3, "ev": "one"}))]
     df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
-    got = rows(labeling.parse_answers(df, "raw", ["p_supply", "p_other"], ["ev"]).select("label_status", "p_supply", "p_other", F.array_join("ev", "|"), "is_srdi_related"), "i")
+    got = rows(labeling.parse_answers(df, "raw", ["p_supply", "p_other"], ["ev"], ["is_related"]).select("label_status", "p_supply", "p_other", F.array_join("ev", "|"), "is_related"), "i")
     assert got[:3] == [("success", 0.9, 0.0, "a", True)] * 3
     assert got[3][0] == got[4][0] == "failed"
     assert got[5] == ("success", 1.0, 0.0, "one", False)
