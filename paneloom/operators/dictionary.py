@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paneloom.functions.numeric import band, count_if, ratio
 from paneloom.functions.text import count_terms, literal_count, matched_terms
+from paneloom.operators.keys import small_side
 
 COVERAGE_BANDS = [(0.80, "saturated"), (0.50, "high"), (0.25, "medium"), (0.05, "low")]
 
@@ -65,8 +66,8 @@ def term_role(coverage: DataFrame, broad: Sequence[str], saturated: float = 0.8,
 
 
 def hits_by_join(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
-    """(key, term) wherever the text contains the term: for term tables too long for one projection. Terms are broadcast."""
-    return df.join(F.broadcast(terms), F.contains(F.col(text), F.col(term))).select(key, *terms.columns)
+    """(key, term) wherever the text contains the term: for term tables too long for one projection. Terms are broadcast if they are few."""
+    return df.join(small_side(terms), F.contains(F.col(text), F.col(term))).select(key, *terms.columns)
 
 
 def transitions(a: DataFrame, b: DataFrame, key: str, categories: Sequence[str]) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions.numeric import clamp01, ratio, tertile, unit_or_zero
-from paneloom.operators.keys import join_checked
+from paneloom.operators.keys import join_checked, small_side
 
 
 def skeleton(units: DataFrame, periods: DataFrame | Sequence, period: str = "period") -> DataFrame:
-    """Every unit with every period; both sides are small and distinct first."""
+    """Every unit with every period; both sides are made distinct first, and periods are broadcast if they are few."""
     if not isinstance(periods, DataFrame):
         periods = units.sparkSession.createDataFrame([(p,) for p in periods], [period])
-    return units.distinct().crossJoin(F.broadcast(periods.distinct()))
+    return units.distinct().crossJoin(small_side(periods.distinct()))
 
 
 def balance(frame: DataFrame, facts: DataFrame, keys: Sequence[str], zero: Sequence[str], logs: dict[str, str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paneloom.functions.numeric import cosine, ratio
 from paneloom.functions.text import squeeze, tokens
+from paneloom.operators.keys import small_side
 
 
 def vocabulary(sources: Sequence[DataFrame], term: str, stop: Sequence[str] = (), least: int = 2) -> DataFrame:
@@ -48,7 +49,7 @@ def label_lift(weights: DataFrame, key: str, members: DataFrame, label: str, n_d
     sizes = members.groupBy(label).agg(F.count(F.lit(1)).alias("label_docs"))
     total = weights.groupBy("term").agg(F.sum("tfidf").alias("all_sum"), F.count(F.lit(1)).alias("global_doc_count"))
     inside = weights.join(members, key).groupBy(label, "term").agg(F.sum("tfidf").alias("in_sum"), F.count(F.lit(1)).alias("label_doc_count"))
-    grid = sizes.crossJoin(F.broadcast(terms.select("term"))).join(inside, [label, "term"], "left").join(total, "term", "left").na.fill(0)
+    grid = sizes.crossJoin(small_side(terms.select("term"))).join(inside, [label, "term"], "left").join(total, "term", "left").na.fill(0)
     mean = ratio("in_sum", "label_docs")
     outside = ratio(F.col("all_sum") - F.col("in_sum"), F.lit(n_docs) - F.col("label_docs"))
     label_share, global_share = ratio("label_doc_count", "label_docs"), F.col("global_doc_count") / F.lit(n_docs).cast("double")
