@@ -106,3 +106,9 @@ def panel_id(*parts: str, separator: str = "_") -> Column:
 
 def clamp_probabilities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: clamp01(c) for c in columns})
+
+
+def fill_groups(df: DataFrame, prefixes: Sequence[str] = (), suffixes: Sequence[str] = (), value: float = 0) -> DataFrame:
+    """Nulls to a value in all columns whose names begin or end so."""
+    chosen = [c for c in df.columns if c.startswith(tuple(prefixes)) or c.endswith(tuple(suffixes))] if prefixes or suffixes else []
+    return df.na.fill(value, chosen) if chosen else df

@@ -246,3 +246,14 @@ def chat_requests(spark, sf):
 def delimited_flags(spark, sf):
     flags = F.concat_ws(";", *(F.when(F.col(f"has_{t}"), F.lit(t)) for t in TOOLS))
     return rules.delimited_counts(features(spark, sf).select(flags.alias("flags")), "flags")
+
+
+@query("label_model_metrics")
+def label_model_metrics(spark, sf):
+    """Test metrics of a model fitted on the training rows."""
+    from paneloom.operators import training
+
+    rows = labelled(spark, sf).join(documents(spark, sf).select("doc_id", "text"), "doc_id")
+    parts = sampling.stratified_split(rows, "doc_id", "pattern")
+    model, _ = training.fit(parts.where("split = 'train'"), parts.where("split = 'validation'"), "text", ["quality", "toxic"], penalties=(0.1,), iterations=8)
+    return training.evaluate(model, parts.where("split = 'test'"), "text")

@@ -104,6 +104,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+    """A folder of JSON lines for each split."""
+    df.write.mode("overwrite").partitionBy(split).json(path)
+
+
 def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     """Parquet partitioned by columns; rows of a partition value meet first, so files stay few."""
     df.repartition(*columns).write.mode("overwrite").partitionBy(*columns).parquet(path)

@@ -104,6 +104,38 @@ def test_multilabel_metrics(spark):
     assert weights == {"a": 0.5, "b": 0.5}
 
 
+def test_trained_model(spark, tmp_path):
+    from paneloom.operators import training
+
+    words = {"a": "政策采购补贴", "b": "人才培训服务"}
+    data = [(i, (words["a"] if i % 2 else "") + "通知" * (i % 3 + 1) + (words["b"] if i % 3 == 0 else ""), i % 2, int(i % 3 == 0)) for i in range(120)] + [(999, None, 0, 0)]
+    df = spark.createDataFrame(data, "id int, text string, y_a int, y_b int")
+    model, report = training.fit(df.where("id % 5 < 3"), df.where("id % 5 = 3"), "text", ["a", "b"], penalties=(0.01, 0.1), buckets=1 << 10)
+    got = dict(rows(training.evaluate(model, df.where("id % 5 = 4"), "text")))
+    assert got["macro_f1"] > 0.95 and report.where("metric = 'macro_f1'").count() == 2
+    model.save(str(tmp_path / "m"))
+    again = training.TextModel.load(str(tmp_path / "m"), ["a", "b"], 1 << 10)
+    assert rows(again.predict(df, "text").select("p_a"), "id") == rows(model.predict(df, "text").select("p_a"), "id")
+
+
+def test_figures_say_what_they_need(spark, tmp_path):
+    from paneloom.operators import figures
+
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "x int, y double")
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="matplotlib"):
+            figures.lines(df, "x", ["y"], tmp_path / "f.png")
+    else:
+        assert figures.lines(df, "x", ["y"], tmp_path / "f.png").exists()
+
+
+def test_fill_groups(spark):
+    df = spark.createDataFrame([(None, None, None)], "sum_a double, b_count int, c int")
+    assert rows(panel.fill_groups(df, ["sum_"], ["_count"])) == [(0.0, 0, None)]
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     d = stats.describe(df, ["x"]).first()
