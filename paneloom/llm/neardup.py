@@ -392,6 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _classes(docs)
     # an empty set is its own component; the others take the smallest doc_id of theirs
     names = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("name")).withColumnRenamed("c", "c2")
+    names = Scratch(docs.sparkSession, "neardup").keep(names, "names")  # written, so that the join may split a large class
     return rows.join(names, F.col("c") == F.col("c2"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 

@@ -271,6 +271,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     merged = windows.groupBy("fp").agg(F.collect_list(F.struct("s0", "s1", "source", "later")).alias("w")).mapInArrow(merge, f"fp bigint, spans {span}, removable {span}")
     classes = facts.where(f"n_words >= {LEAST}").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     known = classes.alias("c").join(merged.alias("m"), F.expr("c.fp = m.fp"), "left").selectExpr("c.fp as cfp", "rep", "copies", "spans", "removable").where("copies > 1 or spans is not null")
+    known = scratch.keep(known, "known")  # written, so that the join may split a large class
     whole = f"cast(array(named_struct('start', 0L, 'words', n_words, 'source', coalesce(rep, {_LAST}L))) as {span})"
     return facts.join(known, F.expr("fp = cfp")).selectExpr(
         "doc_id", "th", "n_words",
