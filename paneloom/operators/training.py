@@ -23,8 +23,9 @@ from paneloom.operators import metrics
 
 def character_pairs(df: DataFrame, text: str, name: str = "_pairs") -> DataFrame:
     """Array of all pairs of neighbouring characters; a text of one character is its own pair."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))
+    chars = F.split(F.coalesce(F.col(text), F.lit("")), "")
+    n = F.greatest(F.size(chars) - 1, F.lit(1))
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return df.withColumn(name, pairs)
 
 
