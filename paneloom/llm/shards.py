@@ -1,7 +1,7 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
-An append writes the arrivals as small shards, one for each input partition, without a shuffle, and commits a
-manifest that lists them after the shards of the version before. A compaction groups shards of similar size
+An append writes the arrivals as small shards, one or more (at most so many rows each) for each input partition,
+without a shuffle, and commits a manifest that lists them after the shards of the version before. A compaction groups shards of similar size
 (sizes in one tier differ by a factor of ``FAN_IN`` at most), fills groups up to the target size, and merges
 every group of at least ``FAN_IN`` shards into one file; again without a shuffle, as a group is read by the task
 that writes its file. It then commits the next manifest. Rounds follow until no tier has enough shards.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 FAN_IN = 4
 TARGET_BYTES = 64 << 20
 GROUPS_PER_JOB = 64
+ARRIVAL_ROWS = 2_048  # in a shard of the query's arrivals: a few MB at a few KB a row, whatever the size of the input's partitions
 
 
 @dataclass(frozen=True)
@@ -97,15 +98,16 @@ class ShardStore:
             t, edge = t + 1, edge * self.fan_in
         return t
 
-    def _write(self, df: DataFrame) -> list[Shard]:
+    def _write(self, df: DataFrame, rows: int = 0) -> list[Shard]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(folder)
         found = [(s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(self._path(folder))]
         return [Shard(p, n, self.tier(n)) for p, n in sorted(found) if p.endswith(".parquet")]
 
-    def append(self, df: DataFrame) -> int:
+    def append(self, df: DataFrame, rows: int = 0) -> int:
+        """Add df as shards of at most so many rows (0: one for each input partition); returns the new version."""
         version, shards, _ = self.load()
-        self.commit(version + 1, shards + self._write(df), df.schema.json())
+        self.commit(version + 1, shards + self._write(df, rows), df.schema.json())
         return version + 1
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
@@ -161,10 +163,10 @@ class ShardStore:
         return len(dead)
 
 
-def compacted(docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> tuple[ShardStore, DataFrame]:
-    """Append docs to a new store, compact, drop what older versions alone need, and read the latest version."""
+def compacted(docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, rows: int = ARRIVAL_ROWS) -> tuple[ShardStore, DataFrame]:
+    """Append docs to a new store as small arrivals, compact, drop what older versions alone need, and read the latest version."""
     store = ShardStore(docs.sparkSession, root, target_bytes, fan_in)
-    store.append(docs)
+    store.append(docs, rows)
     store.expire(store.compact())
     return store, store.read()
 

@@ -213,6 +213,17 @@ def test_compaction(spark, tmp_path):
     assert shards.compacted(empty(spark), f"file://{tmp_path}/e")[1].count() == 0
 
 
+def test_one_large_partition_is_merged_from_small_shards(spark, tmp_path, monkeypatch):
+    plans, plan = [], shards.ShardStore.plan
+    monkeypatch.setattr(shards.ShardStore, "plan", lambda self, found: plans.append((found, plan(self, found))) or plans[-1][1])
+    rng = random.Random(31)
+    df = frame(spark, [rng.randbytes(40).hex() for _ in range(5 * 2048)]).coalesce(1)
+    store, out = shards.compacted(df, f"file://{tmp_path}/big")
+    assert len(plans[0][0]) == 5 and [len(g) for g in plans[0][1]] == [5]
+    assert len(store.load()[1]) == 1 and store.load()[0] == 2
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
 def test_groups_are_of_one_tier(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/p", target_bytes=100 << 20)
     some = [shards.Shard(f"p{i}", s, store.tier(s)) for i, s in enumerate([70_000] * 5 + [5 << 20] * 30 + [90 << 20])]
