@@ -1,7 +1,7 @@
 """License scans: exact phrases, and an exact set-similarity join of license templates with text blocks.
 
-A block is a window of ``WINDOW`` words, every ``STEP`` words; a template of at most ``STEP`` words that stands
-together lies whole in some block. A template labels a block that contains at least ``percent`` of its distinct
+A block is a window of ``WINDOW`` words, every ``STEP`` words; for templates of more than ``STEP`` words the window
+is twice the longest, and the step its length, so a template that stands together lies whole in some block. A template labels a block that contains at least ``percent`` of its distinct
 words. The join finds all such pairs: template words are ordered by their frequency in the whole corpus, rarest
 first; a template that needs c of its m words can only match a block that holds one of its first m-c+1 (prefix
 filter); the block must hold c template words at all (length filter); and the places of the shared word in both
@@ -81,6 +81,12 @@ def phrase_places(words: Column, phrase: str) -> tuple[Column, Column, Column]:
     return n, first, last
 
 
+def grid(templates: dict[str, str]) -> tuple[int, int]:
+    """(window, step) of blocks; any run of words as long as the longest template lies whole in some block."""
+    longest = max(len(t.split()) for t in templates)
+    return (WINDOW, STEP) if longest <= STEP else (2 * longest, longest)
+
+
 def vocabulary(templates: dict[str, str]) -> list[str]:
     return sorted({w for t in templates for w in t.split()})
 
@@ -108,6 +114,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (greatest containment)."""
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     spark = docs.sparkSession
+    window, step = grid(templates)
     scratch = Scratch(spark, "licenses")
     words = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("words"))
     rank = corpus_order(words, templates)
@@ -128,9 +135,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     )
     code = spark.createDataFrame(list(rank.items()), "w string, r int")
     prefix = spark.createDataFrame(rows, "t int, label string, ranks array<int>, need int, r int, tpos int")
-    # a word at place i is in the windows that start at the multiples of STEP from i-WINDOW+1 to i
+    # a word at place i is in the windows that start at the multiples of step from i-window+1 to i
     spoken = facts.where("words is not null").select("rid", F.posexplode(F.split(F.trim("words"), "  ")).alias("i", "w")).join(F.broadcast(code), "w")
-    held = spoken.select("rid", "r", F.explode(F.expr(f"sequence(greatest(0, cast(ceil((i - {WINDOW - 1}) / {STEP}.0) as int)), i div {STEP})")).alias("block"))
+    held = spoken.select("rid", "r", F.explode(F.expr(f"sequence(greatest(0, cast(ceil((i - {window - 1}) / {step}.0) as int)), i div {step})")).alias("block"))
     blocks = held.groupBy("rid", "block").agg(F.array_sort(F.collect_set("r")).alias("b"))
     candidates = blocks.select("rid", "b", F.posexplode("b").alias("bpos", "r")).join(F.broadcast(prefix), "r")
     room = F.expr("1 + least(size(ranks) - tpos - 1, size(b) - bpos - 1)")

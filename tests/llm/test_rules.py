@@ -185,6 +185,14 @@ def test_licenses_against_all_blocks(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_long_templates_are_found_wherever_they_stand(spark):
+    assert licenses.grid(licenses.TEMPLATES) == (licenses.WINDOW, licenses.STEP)
+    templates = {" ".join(f"t{i}" for i in range(100)): "long", " ".join(f"u{i}" for i in range(50)): "middle"}
+    texts = [" ".join([*["x"] * at, t, *["y"] * 40]) for t in templates for at in (0, 31, 49, 50, 99, 100, 137)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(spark, texts), templates=templates).collect()}
+    assert got == {i: ("long" if i < 7 else "middle", 1.0) for i in range(14)}
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan(frame(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
