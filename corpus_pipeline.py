@@ -4,7 +4,8 @@ Each stage works on all that its predecessor kept and returns the columns of doc
 pieces. ``run`` writes every stage's result to the shared folder and reads it again, so a lost executor costs
 the work of one stage at most.
 
-* language: documents whose language can't be told (null text, no letter) go.
+* language: documents whose language can't be told (null text, no letter) go; the machines' scores reject none, as
+  ``least_score`` is 0.
 * near_duplicates: of each group linked by a Jaccard similarity of 0.8 of five-word shingles one document stays.
 * repeated_passages: later occurrences of passages of 50 words or more are cut from the texts; a document left
   without a word goes.

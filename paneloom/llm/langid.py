@@ -202,7 +202,10 @@ def identify(docs: DataFrame, model: Hierarchy | None = None, max_rows: int = MA
 
 
 def keep_identified(docs: DataFrame, max_rows: int = MAX_ROWS, least_score: float = 0.0) -> DataFrame:
-    """docs without the rows that are ``und`` or score below least_score; all columns stay as they are."""
+    """docs without the rows that hold no letter or score below least_score; all columns stay as they are.
+
+    Where nothing could be learned, no score is known and all rows with a letter stay.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     held = spark.sparkContext.broadcast(train(docs, max_rows))
@@ -211,7 +214,10 @@ def keep_identified(docs: DataFrame, max_rows: int = MAX_ROWS, least_score: floa
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            rows = b.filter(pa.array([model is not None and has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            rows = b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            if model is None:
+                yield rows
+                continue
             good = []
             for i in range(0, rows.num_rows, 256):
                 good += [score >= least_score for _, score in model.predict(scaled(np.stack(list(counts(rows.column(at).slice(i, 256))))))]

@@ -135,6 +135,12 @@ def test_language_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 6] and kept.columns == extra(df).columns
 
 
+def test_lettered_rows_stay_where_nothing_was_learned(spark):
+    df = frame(spark, ["the cat", None, "", "12 34", "der Hund"], lang=None)
+    kept = langid.keep_identified(extra(df))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4] and kept.columns == extra(df).columns
+
+
 def test_prediction_sees_text_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs)
