@@ -15,7 +15,8 @@ so a passage held by very many texts does not gather in one task, and entries mo
 
 Null, empty and short texts (under 50 words) have no spans. Rows that repeat another row's doc_id and text are
 equal to it and share its spans. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read;
-``remove_repeats`` keeps all other columns. Windows are compared by 64-bit hashes.
+``remove_repeats`` keeps all other columns, whatever their names. Windows are compared by 64-bit hashes. A very long
+text is hashed block by block; a task holds its word hashes (8 bytes a word) and at most 400,000 suffixes beside them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -35,6 +35,7 @@ from paneloom.session import Scratch, release_shuffles, ship_package
 GRAM = 25
 LEAST = 2 * GRAM  # words of the shortest passage that is surely found
 WINDOW = LEAST - GRAM + 1
+SEEN = 100_000  # fingerprints that a task remembers, some 10 MB; a text met twice is dropped by the reducer
 _LAST = np.iinfo(np.int64).max
 
 
@@ -78,7 +79,7 @@ def _facts(src: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, th, n_words, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tc.tidied(batches):
             n, fp = [], []
             for words in tc.texts_words(b.column(2), lower=True):
                 n.append(len(words))
@@ -116,13 +117,13 @@ def _repeated_grams(src: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
             if len(rest):
                 yield pa.RecordBatch.from_arrays([pa.array((tc.mix(rest[:, 1] + rest[:, 2]) % np.uint64(parts)).astype(np.int32)), _i64(rest[:, 1]), _i64(rest[:, 2]), pa.nulls(len(rest), pa.binary())], names)
 
-        for b in batches:
+        for b in tc.tidied(batches):
             for words in tc.texts_words(b.column(0), lower=True):
                 fp = sequence_print(words)
                 if len(words) < LEAST or fp in seen:
                     continue
-                if len(seen) > 1_000_000:
-                    seen.clear()  # bounds memory; the reducer drops what is met twice
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(fp)
                 grams, at = minimisers(words)
                 pos = np.unique(at)
@@ -133,7 +134,7 @@ def _repeated_grams(src: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
                     size = 0
         if held:
             yield from flush()
-        tc.tidy()
+            tc.tidy()
 
     def reduce(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 4) for x in group.column("blob").combine_chunks() if x.is_valid]
@@ -162,8 +163,9 @@ def _runs(fp, start, source, later) -> pa.RecordBatch:
 
 def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """Windows of the retained suffixes that occur again: fp, s0, s1, source (doc_id of an earlier holder), later."""
-    reps = facts.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    places = grams.groupBy("fp").agg(F.collect_set("pos").alias("pos")).alias("g").join(reps.alias("r"), F.expr("g.fp = r.fp")).selectExpr("g.fp as fp", "rep", "pos")
+    # the text of a class is fetched by id and text hash, so rows without an id don't meet all others without one
+    reps = facts.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("o"), "th", "doc_id")).alias("r"))
+    places = grams.groupBy("fp").agg(F.collect_set("pos").alias("pos")).alias("g").join(reps.alias("r"), F.expr("g.fp = r.fp")).selectExpr("g.fp as fp", "r.r.doc_id as rep", "r.r.th as rep_th", "pos")
     names = ["part", "fp", "s0", "s1", "source", "later", "blob"]
     schema = "part int, fp bigint, s0 bigint, s1 bigint, source bigint, later boolean, blob binary"
 
@@ -197,11 +199,11 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
                 part = (tc.mix(runs.column(0).to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(part), *runs.columns, pa.nulls(runs.num_rows, pa.binary())], names)
 
-        for b in batches:
+        for b in tc.tidied(batches):
             fps, reps, poss = (b.column(c).to_pylist() for c in (1, 2, 3))
             for i, words in enumerate(tc.texts_words(b.column(0), lower=True)):
                 if sequence_print(words) != fps[i] & (2**64 - 1):
-                    continue  # another text under the same doc_id
+                    continue  # another text of the same doc_id and hash
                 g, at = minimisers(words)
                 s = np.flatnonzero(np.isin(at, np.asarray(poss[i], np.int64)))
                 w = window_hashes(g)[s].view(np.int64)
@@ -213,7 +215,7 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
                     size = 0
         if held:
             yield from flush()
-        tc.tidy()
+            tc.tidy()
 
     def reduce(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 6) for x in group.column("blob").combine_chunks() if x.is_valid]
@@ -224,7 +226,7 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
         tc.tidy()
         return pa.concat_tables([pa.Table.from_batches([runs]), old.cast(runs.schema)])
 
-    fetched = src.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "fp", "rep", "pos").mapInArrow(emit, schema)
+    fetched = src.join(places, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "fp", "rep", "pos").mapInArrow(emit, schema)
     return scratch.keep(fetched.groupBy("part").applyInArrow(reduce, SPANS), "windows")
 
 
@@ -259,7 +261,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     span = "array<struct<start: bigint, words: bigint, source: bigint>>"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tc.tidied(batches):
             every, later = [], []
             for ws in b.column(1).to_pylist():
                 cols = [[w[k] for w in ws] for k in ("s0", "s1", "source", "later")]
@@ -302,14 +304,19 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with every removable span cut out of its text; all columns stay. Texts without one are left as they are."""
     ship_package(docs.sparkSession)
-    gone = repeated_spans(docs).where("size(removable) > 0").groupBy(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).agg(F.first("removable").alias("_gone"))
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut_words(t, [(x["start"], x["words"]) for x in s]) for t, s in zip(text, spans, strict=True)])
-
-    joined = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left")
-    return joined.select(*(F.when(F.col("_gone").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("_gone"))).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    gone = repeated_spans(docs).where("size(removable) > 0").groupBy("doc_id", "th").agg(F.first("removable").alias("spans"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "spans")
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else cut_words(t, [(x["start"], x["words"]) for x in s]) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    # the input's columns travel in one struct, so no name of theirs can clash with those of the join
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = rows.join(gone, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_th")), "left")
+    left = cut(F.when(F.col("spans").isNotNull(), F.col("row.text")), F.col("spans"))
+    kept = joined.select("row", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(left).alias("left"))
+    return kept.select(*(F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle_sql() -> str:

@@ -43,6 +43,18 @@ def tidy() -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidied(batches: Iterator[pa.RecordBatch], every: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, with freed memory given back after each so many bytes and at the end."""
+    seen = 0
+    for b in batches:
+        seen += b.nbytes
+        yield b
+        if seen > every:
+            seen = 0
+            tidy()
+    tidy()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -77,16 +89,45 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sum over each word's bytes of the byte's number times a power of the base, its length)."""
     lens = ends - starts
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    rel = np.arange(int(lens.sum())) - np.repeat(first, lens)
+    rel = np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(first, lens).astype(np.int32)
     b = data[rel + np.repeat(starts, lens)]
     if lower:
         b = _LOWER[b]
-    return mix(np.add.reduceat(_BYTE[b] * _powers(int(lens.max()) + 1)[rel], first) + lens.astype(np.uint64))
+    return np.add.reduceat(_BYTE[b] * _powers(int(lens.max()) + 1)[rel], first), lens.astype(np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return mix(np.add(*_word_sums(data, starts, ends, lower)))
+
+
+def long_text_hashes(text: np.ndarray, lower: bool, block: int = 1 << 19) -> np.ndarray:
+    """word_hashes of one text, block by block: what is held beside the hashes does not grow with the text or its words."""
+    out: list[np.ndarray] = []
+    with np.errstate(over="ignore"):
+        total, length = np.uint64(0), 0  # of the word that the block before left open
+        for at in range(0, len(text), block):
+            body = text[at : at + block]
+            starts, ends, _ = word_spans(body, np.array([0, len(body)]))
+            sums, lens = _word_sums(body, starts, ends, lower) if len(starts) else (np.zeros(0, np.uint64),) * 2
+            if length and len(starts) and starts[0] == 0:
+                sums[0] = total + sums[0] * np.uint64(pow(_BASE, length, 1 << 64))
+                lens[0] += np.uint64(length)
+            elif length:
+                out.append(mix(np.array([total + np.uint64(length)], np.uint64)))
+            total, length = np.uint64(0), 0
+            if len(ends) and ends[-1] == len(body) and at + block < len(text):
+                total, length = sums[-1], int(lens[-1])
+                sums, lens = sums[:-1], lens[:-1]
+            out.append(mix(sums + lens))
+        if length:
+            out.append(mix(np.array([total + np.uint64(length)], np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -100,10 +141,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def texts_words(column: pa.Array, lower: bool) -> Iterator[np.ndarray]:
-    """The word hashes of each text, in order."""
+def texts_words(column: pa.Array, lower: bool, size: int = 1 << 19) -> Iterator[np.ndarray]:
+    """The word hashes of each text, in order. A text of more than size bytes is hashed block by block."""
     data, offsets = utf8(column)
-    for lo, hi in slices(column):
+    for lo, hi in slices(column, size):
+        if hi - lo == 1 and offsets[hi] - offsets[lo] > size:
+            yield long_text_hashes(data[offsets[lo] : offsets[hi]], lower, size)
+            continue
         starts, ends, first = word_spans(data, offsets[lo : hi + 1])
         hashes = word_hashes(data, starts, ends, lower)
         for i in range(hi - lo):

@@ -22,7 +22,7 @@ def extra(df):
     """Columns that clash with names used inside the operators."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(1) for c in ("n", "fp", "rid", "label", "id", "th", "start", "s", "pos", "digest", "words", "lang_pred")})
+    return df.withColumns({c: F.lit(1) for c in ("n", "fp", "rid", "label", "id", "th", "start", "s", "pos", "digest", "words", "lang_pred", "_th", "_key", "_text", "_gone", "_id", "_cuts", "row", "spans", "left", "cuts", "a.b")})
 
 
 ODD = [None, "", " ", "\n\n\t", "x", "12 34", "é à ü", "word " * 30_000, "a" * 50_000, "same text here", "same text here", " \x00 nul", "語語語 語", "$$$ ### &&&"]
