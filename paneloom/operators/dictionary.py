@@ -70,20 +70,38 @@ def hits_by_join(df: DataFrame, key: str, text: str, terms: DataFrame, term: str
     return df.join(small_side(terms), F.contains(F.col(text), F.col(term))).select(key, *terms.columns)
 
 
+def two_surfaces(df: DataFrame, first: Column, second: Column, categories: dict[str, list[str]], prefixes: tuple[str, str] = ("a_", "b_")) -> DataFrame:
+    """Row features of two texts of the same rows side by side, a_* and b_*: one scan, no join."""
+    out = df
+    for text, prefix in zip((first, second), prefixes, strict=True):
+        cols = {f"{prefix}{name}_hits": count_terms(F.coalesce(text, F.lit("")), terms) for name, terms in categories.items()}
+        out = out.withColumns(cols).withColumns({f"{prefix}has_{name}": F.col(f"{prefix}{name}_hits") > 0 for name in categories})
+    return out
+
+
 def transitions(a: DataFrame, b: DataFrame, key: str, categories: Sequence[str]) -> DataFrame:
-    """How often each category's flag is the same or changes between two measures of the same rows; all four cells."""
-    left = a.select(key, *(F.col(f"has_{c}").alias(f"a_{c}") for c in categories))
-    both = left.join(b.select(key, *(F.col(f"has_{c}").alias(f"b_{c}") for c in categories)), key)
-    wide = both.agg(*(count_if((F.col(f"a_{c}") == x) & (F.col(f"b_{c}") == y)).alias(f"{c}_{int(x)}{int(y)}") for c in categories for x in (False, True) for y in (False, True)))
-    packed = [F.struct(F.lit(c).alias("category"), F.lit(x).alias("before_hit"), F.lit(y).alias("after_hit"), F.col(f"{c}_{int(x)}{int(y)}").alias("records")) for c in categories for x in (False, True) for y in (False, True)]
+    """How often each category's flag is the same or changes between two measures of the same keys in two tables; all four cells."""
+    left = a.select(key, *(F.col(f"has_{c}").alias(f"a_has_{c}") for c in categories))
+    return transitions_within(left.join(b.select(key, *(F.col(f"has_{c}").alias(f"b_has_{c}") for c in categories)), key), categories)
+
+
+def transitions_within(both: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """The same of one table that holds both measures (``two_surfaces``)."""
+    cells = [(c, x, y) for c in categories for x in (False, True) for y in (False, True)]
+    wide = both.agg(*(count_if((F.col(f"a_has_{c}") == x) & (F.col(f"b_has_{c}") == y)).alias(f"{c}_{int(x)}{int(y)}") for c, x, y in cells))
+    packed = [F.struct(F.lit(c).alias("category"), F.lit(x).alias("before_hit"), F.lit(y).alias("after_hit"), F.col(f"{c}_{int(x)}{int(y)}").alias("records")) for c, x, y in cells]
     return wide.select(F.explode(F.array(*packed)).alias("r")).select("r.*")
 
 
 def measure_deltas(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """b - a for each value on the same keys."""
     left = a.select(*keys, *(F.col(v).alias(f"{v}_a") for v in values))
-    out = left.join(b.select(*keys, *(F.col(v).alias(f"{v}_b") for v in values)), list(keys))
-    return out.withColumns({f"{v}_delta": F.col(f"{v}_b") - F.col(f"{v}_a") for v in values})
+    return deltas_within(left.join(b.select(*keys, *(F.col(v).alias(f"{v}_b") for v in values)), list(keys)), values)
+
+
+def deltas_within(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """The same of one table that holds both measures, as v_a and v_b."""
+    return df.withColumns({f"{v}_delta": F.col(f"{v}_b") - F.col(f"{v}_a") for v in values})
 
 
 def revision_effect(before: Column, after: Column) -> Column:

@@ -40,11 +40,27 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> Da
     return df
 
 
-def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", validate: str = "1:1", suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """An equi-join whose sides are unique as validate says (1:1 or m:1); clashing columns get suffixes."""
-    if validate.startswith("1"):
-        assert_unique(left, keys, "left side")
-    assert_unique(right, keys, "right side")
+def once_each(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
+    """df, which fails when it is run if a key repeats; null is a key. The check is a part of the plan, on the partitioning that a join by the keys needs anyway."""
+    rest = [c for c in df.columns if c not in set(keys)]
+    packed = df.select(*keys, F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias("_one")).alias("_row"))
+    found = packed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))
+    names = F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))
+    text = F.concat(F.lit(f"{what}: repeated {list(keys)}: "), names)
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(text))
+    return found.select(*keys, row.alias("_row")).where(F.col("_row._one") == 1).select(*(F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
+
+
+def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", validate: str = "1:1", suffixes: tuple[str, str] = ("_a", "_b"), unique: Sequence[str] = ()) -> DataFrame:
+    """An equi-join whose sides are unique as validate says (1:1 or m:1); clashing columns get suffixes.
+
+    The join fails when it is run if a key repeats; nothing is run before. unique names sides (left, right) that are
+    so by the way they were made, such as groups by the keys.
+    """
+    if validate.startswith("1") and "left" not in unique:
+        left = once_each(left, keys, "left side")
+    if "right" not in unique:
+        right = once_each(right, keys, "right side")
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     a = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
     b = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
@@ -67,10 +83,10 @@ def key_difference(expected: DataFrame, actual: DataFrame, keys: Sequence[str])
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, target: str, corrected: str, status: str = "correction_status", carry: Sequence[str] = ()) -> DataFrame:
     """Replace target where an override for the key exists; keeps the value before and a status.
 
-    Rows without an override have status ``original``; an override without a status has ``corrected``.
+    Rows without an override have status ``original``; an override without a status has ``corrected``. It fails when it
+    is run if a key has two overrides.
     """
-    assert_unique(overrides, [key], "overrides")
-    o = overrides.select(F.col(key).alias("_k"), F.col(corrected).alias("_new"), F.col(status).alias("_status"), *(F.col(c).alias(f"_c_{c}") for c in carry))
+    o = once_each(overrides, [key], "overrides").select(F.col(key).alias("_k"), F.col(corrected).alias("_new"), F.col(status).alias("_status"), *(F.col(c).alias(f"_c_{c}") for c in carry))
     hit = F.col("_k").isNotNull()
     out = df.join(o, df[key] == F.col("_k"), "left")
     out = out.withColumn(f"{target}_before", F.col(target)).withColumn(target, F.when(hit, F.col("_new")).otherwise(F.col(target)))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions.numeric import clamp01, ratio, tertile, unit_or_zero
-from paneloom.operators.keys import join_checked, small_side
+from paneloom.operators.keys import BROADCAST_ROWS, join_checked, require_columns, small_side
+from paneloom.operators.ranges import quantiles
 
 
 def skeleton(units: DataFrame, periods: DataFrame | Sequence, period: str = "period") -> DataFrame:
     """Every unit with every period; both sides are made distinct first, and periods are broadcast if they are few."""
     if not isinstance(periods, DataFrame):
-        periods = units.sparkSession.createDataFrame([(p,) for p in periods], [period])
+        listed = units.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(periods)], [period])
+        return units.distinct().crossJoin(F.broadcast(listed) if len(periods) <= BROADCAST_ROWS else listed)
     return units.distinct().crossJoin(small_side(periods.distinct()))
 
 
@@ -49,7 +51,7 @@ def confident(df: DataFrame, tools: Sequence[str], other: str, at: float = 0.75)
 
 
 def intensity(rows: DataFrame, frame: DataFrame, keys: Sequence[str], tools: Sequence[str], other: str, at: float = 0.75, digits: int = 6) -> DataFrame:
-    """Probabilities summed to panel cells: raw, filtered to valid rows, hard and confident counts, and shares."""
+    """Probabilities summed to panel cells: raw, filtered to valid rows, hard and confident counts, and shares. frame has each cell once, as ``skeleton`` makes it."""
     every = [*tools, other]
     aggs = [F.count(F.lit(1)).alias("records"), F.sum("valid_tool").cast("bigint").alias("valid_count"), F.sum(f"{other}_label").cast("bigint").alias(f"{other}_count")]
     for t in every:
@@ -58,7 +60,7 @@ def intensity(rows: DataFrame, frame: DataFrame, keys: Sequence[str], tools: Seq
     for t in tools:
         aggs += [F.sum(f"{t}_label").cast("bigint").alias(f"{t}_count"), F.sum((F.col(f"p_{t}") >= at).cast("int")).cast("bigint").alias(f"high_{t}_count")]
     cells = rows.groupBy(*keys).agg(*aggs)
-    out = join_checked(frame, cells, keys).na.fill(0)
+    out = join_checked(frame, cells, keys, unique=("left", "right")).na.fill(0)
     for prefix, name in (("sum_p_", ""), ("filtered_sum_p_", "filtered_")):
         whole = reduce(lambda a, b: a + b, (F.col(prefix + t) for t in tools))
         out = out.withColumns({f"{name}{t}_share": F.round(ratio(F.col(prefix + t), whole), digits) for t in tools})
@@ -73,16 +75,17 @@ def zscores(df: DataFrame, columns: Sequence[str], suffix: str = "_z", digits: i
 
 
 def robust_z(df: DataFrame, columns: Sequence[str], suffix: str = "_rz", digits: int = 6) -> DataFrame:
-    """0.6745 (x - median) / MAD; with MAD 0 the plain z-score; with that deviation 0 too, 0."""
-    med = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_d_{c}") for c in columns), *(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"_s_{c}") for c in columns))
-    with_med = df.crossJoin(F.broadcast(med))
-    mad = with_med.agg(*(F.percentile(F.abs(F.col(c) - F.col(f"_d_{c}")), F.lit(0.5)).alias(f"_a_{c}") for c in columns))
-    out = with_med.crossJoin(F.broadcast(mad))
+    """0.6745 (x - median) / MAD; with MAD 0 the plain z-score; with that deviation 0 too, 0. Medians are exact and computed at once."""
+    half = {c: q[0.5] for c, q in quantiles(df, columns, [0.5]).items()}
+    away = df.select(*(F.abs(F.col(c) - F.lit(half[c]).cast("double")).alias(c) for c in columns))
+    mad = {c: q[0.5] for c, q in quantiles(away, columns, [0.5]).items()}
+    out = df.crossJoin(F.broadcast(df.agg(*(f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))))))  # one row
 
     def score(c: str) -> Column:
+        if mad[c]:
+            return F.round(0.6745 * (F.col(c) - F.lit(half[c])) / F.lit(mad[c]), digits).alias(c + suffix)
         plain = unit_or_zero(F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}"))
-        robust = 0.6745 * (F.col(c) - F.col(f"_d_{c}")) / F.nullif(F.col(f"_a_{c}"), F.lit(0.0))
-        return F.round(F.when(F.col(f"_a_{c}") == 0, plain).otherwise(robust), digits).alias(c + suffix)
+        return F.round(plain if mad[c] == 0 else F.lit(None).cast("double"), digits).alias(c + suffix)
 
     return out.select(*df.columns, *map(score, columns))
 
@@ -112,3 +115,27 @@ def fill_groups(df: DataFrame, prefixes: Sequence[str] = (), suffixes: Sequence[
     """Nulls to a value in all columns whose names begin or end so."""
     chosen = [c for c in df.columns if c.startswith(tuple(prefixes)) or c.endswith(tuple(suffixes))] if prefixes or suffixes else []
     return df.na.fill(value, chosen) if chosen else df
+
+
+def without_nulls(df: DataFrame, columns: Sequence[str] | None = None, how: str = "any") -> DataFrame:
+    """Rows without a null in any of the columns, or (how: all) without nulls in all of them; all columns by default."""
+    return df.na.drop(how=how, subset=list(columns) if columns is not None else None)
+
+
+def without_empty_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """df without those of the columns that hold nothing but nulls; one aggregate says which."""
+    chosen = list(columns) if columns is not None else df.columns
+    filled = df.agg(*(F.max(F.col(f"`{c}`").isNotNull()).alias(f"_{i}") for i, c in enumerate(chosen))).first()
+    return df.drop(*(c for i, c in enumerate(chosen) if not filled[f"_{i}"]))
+
+
+def variable_map(spark: SparkSession, variables: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """(position, variable, role, source, note) of a final panel's columns, in their order."""
+    rows = [(i, name, role, source, note) for i, (name, (role, source, note)) in enumerate(variables.items(), 1)]
+    return spark.createDataFrame(rows, "position int, variable string, role string, source string, note string")
+
+
+def check_variables(df: DataFrame, mapped: DataFrame) -> DataFrame:
+    """df with the mapped columns only, in the map's order; raises if one is missing."""
+    names = [r["variable"] for r in mapped.orderBy("position").collect()]  # a row for each column
+    return require_columns(df, names).select(*names)

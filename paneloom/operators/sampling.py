@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneloom.functions.numeric import round_even
+from paneloom.operators.ranges import numbered
+from paneloom.session import Scratch
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
@@ -15,10 +18,9 @@ def hash_order(key: str, seed: int = 42) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """split of each row: in hash order within the stratum, 70/15/15 rounded to even; of three or more rows one is for testing."""
-    w = Window.partitionBy(stratum)
+    """split of each row: in hash order within the stratum, 70/15/15 rounded to even; of three or more rows one is for testing. Strata may be of any size."""
     n = F.col("_n")
-    out = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(hash_order(key, seed), key)))
+    out = numbered(df.withColumn("_h", hash_order(key, seed)), [stratum], ["_h", key]).drop("_h")
     out = out.withColumn("_t", round_even(n * F.lit(train))).withColumn("_v", F.least(round_even(n * F.lit(validation)), F.greatest(n - F.col("_t"), F.lit(0))))
     # no row left for testing: validation gives one up if it has more than one, else training
     none = (n >= 3) & (F.col("_t") + F.col("_v") == n)
@@ -42,17 +44,21 @@ def pool_sample(df: DataFrame, key: str, pools: Sequence[tuple[str, str, str | N
     """Draw from pools one after the other without drawing a row twice; rows with priority first, then by hash.
 
     pools: (name, membership column, priority column or None). Each pool takes up to ``each`` rows that no pool
-    before it took. The order by hash makes the draw the same on any number of executors.
+    before it took. The order by hash makes the draw the same on any number of executors. df is read once: memberships
+    and hashes are written, and the first k * each of the k-th pool, which are enough as those before it took fewer,
+    are drawn from on the driver: each * pools * (pools + 1) / 2 rows at most.
     """
-    drawn: DataFrame | None = None
-    for name, member, priority in pools:
-        free = df.where(F.col(member))
-        if drawn is not None:
-            free = free.join(drawn.select(key), key, "left_anti")
+    spark = df.sparkSession
+    columns = [c for _, member, priority in pools for c in (member, priority) if c]
+    flags = Scratch(spark, "pools").keep(df.select(key, hash_order(key, seed).alias("_h"), *dict.fromkeys(columns)).where(F.coalesce(*(F.when(F.col(m), True) for _, m, _ in pools), F.lit(False))), "flags")
+    taken: dict = {}
+    for k, (name, member, priority) in enumerate(pools, 1):
         first = F.when(F.col(priority), 0).otherwise(1) if priority else F.lit(0)
-        part = free.select(key, first.alias("_p"), hash_order(key, seed).alias("_h")).orderBy("_p", "_h", key).limit(each).select(key, F.lit(name).alias("sample_pool"))
-        drawn = part if drawn is None else drawn.unionByName(part)
-    return drawn
+        near = flags.where(F.col(member)).select(key, first.alias("_p"), "_h").orderBy("_p", "_h", key).limit(k * each).orderBy("_p", "_h", key).collect()
+        free = [r[key] for r in near if r[key] not in taken]
+        taken |= dict.fromkeys(free[:each], name)
+    schema = T.StructType([df.schema[key], T.StructField("sample_pool", T.StringType())])
+    return spark.createDataFrame(list(taken.items()), schema)
 
 
 def boundary_samples(df: DataFrame, key: str, rules: dict[str, tuple[Column, Column, int]]) -> DataFrame:

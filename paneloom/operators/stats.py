@@ -9,7 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneloom.functions.numeric import average_rank, correlation, count_if
+from paneloom.functions.numeric import correlation, count_if
+from paneloom.operators.ranges import average_ranks, quantiles
 
 
 def unpivot(df: DataFrame, rows: dict[str, dict[str, Column]], key: str = "variable") -> DataFrame:
@@ -19,15 +20,15 @@ def unpivot(df: DataFrame, rows: dict[str, dict[str, Column]], key: str = "varia
 
 
 def describe(df: DataFrame, columns: Sequence[str], ddof: int = 0, digits: int = 6) -> DataFrame:
-    """Count, missing, mean, deviation, quartiles, extremes and zeros of each column; one pass over the data."""
+    """Count, missing, mean, deviation, quartiles, extremes and zeros of each column. Quartiles are exact and computed at once; the rest is one lazy aggregate."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    exact = quantiles(df, columns, list(quartiles.values()))
     aggs, rows = [], {}
     for c in columns:
         x = F.col(c).cast("double")
-        parts = {
-            "n": F.count(x), "missing": count_if(F.col(c).isNull()), "mean": F.avg(x), "std": std(x), "min": F.min(x),
-            "p25": F.percentile(x, F.lit(0.25)), "p50": F.percentile(x, F.lit(0.5)), "p75": F.percentile(x, F.lit(0.75)), "max": F.max(x), "zeros": count_if(x == 0),
-        }
+        parts = {"n": F.count(x), "missing": count_if(F.col(c).isNull()), "mean": F.avg(x), "std": std(x), "min": F.min(x)}
+        parts |= {k: F.max(F.lit(exact[c][p]).cast("double")) for k, p in quartiles.items()} | {"max": F.max(x), "zeros": count_if(x == 0)}
         aggs += [v.alias(f"_{k}_{c}") for k, v in parts.items()]
         rows[c] = {k: F.col(f"_{k}_{c}") if k in ("n", "missing", "zeros") else F.round(F.col(f"_{k}_{c}"), digits) for k in parts}
     return unpivot(df.agg(*aggs), rows)
@@ -42,9 +43,8 @@ def pearson(df: DataFrame, columns: Sequence[str], pairs: str = "unordered", dig
 
 
 def spearman(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Correlations of average ranks. For panel-sized tables: ranks are global."""
-    ranked = df.select(*(average_rank(c).alias(c) for c in columns))
-    return pearson(ranked, columns, digits=digits).withColumnRenamed("pearson", "spearman")
+    """Correlations of average ranks over the whole table."""
+    return pearson(average_ranks(df, columns), columns, digits=digits).withColumnRenamed("pearson", "spearman")
 
 
 def crosstab(df: DataFrame, a: str, b: str, domain_a: Sequence, domain_b: Sequence) -> DataFrame:
@@ -64,7 +64,7 @@ def pivot_values(df: DataFrame, row: str, column: str, value: Column, domain: Se
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Non-null, missing and distinct values of each column."""
+    """Non-null, missing and distinct values of each column. ``top_values`` gives examples."""
     aggs = [f for c in columns for f in (F.count(c).alias(f"_n_{c}"), count_if(F.col(c).isNull()).alias(f"_m_{c}"), F.count_distinct(c).alias(f"_u_{c}"))]
     return unpivot(df.agg(*aggs), {c: {"non_null": F.col(f"_n_{c}"), "missing": F.col(f"_m_{c}"), "n_unique": F.col(f"_u_{c}")} for c in columns}, "column")
 
@@ -74,6 +74,12 @@ def top_examples(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("records")).orderBy(F.desc("records"), F.col(column).asc_nulls_last()).limit(n)
 
 
+def top_values(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
+    """(column, value, records): the n most frequent values of each column as text (ties: by value); nulls are no value."""
+    parts = [top_examples(df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("value")), "value", n).select(F.lit(c).alias("column"), "value", "records") for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dense_ranked(df: DataFrame, value: str, name: str = "rank", partition: Sequence[str] = ()) -> DataFrame:
     return df.withColumn(name, F.dense_rank().over(Window.partitionBy(*partition).orderBy(F.col(value).desc_nulls_last())))
 
@@ -105,33 +111,3 @@ def duplicate_count(df: DataFrame, column: str) -> DataFrame:
 def text_profile(df: DataFrame, column: str, long_from: int = 100) -> DataFrame:
     n = F.length(F.coalesce(F.col(column), F.lit("")))
     return df.agg(F.round(F.avg(n), 6).alias("mean_length"), F.max(n).cast("bigint").alias("max_length"), F.round(F.avg(F.when(n > long_from, 1.0).otherwise(0.0)), 6).alias("long_share"))
-
-
-def quantiles_by_sort(df: DataFrame, column: str, probabilities: Sequence[float], partitions: int | None = None) -> dict[float, float | None]:
-    """Exact quantiles (linear between neighbours) of a column too large for one aggregate's buffer.
-
-    Values are range-sorted over the cluster; counts of the ranges say which range and place hold each wanted rank,
-    and only those rows reach the driver. ``describe`` keeps all distinct values of a column in one buffer; use this
-    where they are many.
-    """
-    from paneloom.session import Scratch
-
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    ranges = Scratch(spark, "quantiles").keep(values.repartitionByRange(n_parts, "x").withColumn("rng", F.spark_partition_id()), "ranges")
-    sizes = sorted((r["rng"], r["n"]) for r in ranges.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each range
-    total = sum(n for _, n in sizes)
-    if not total:
-        return dict.fromkeys(probabilities)
-    at = {p: (total - 1) * p for p in probabilities}
-    ranks = {k for h in at.values() for k in (int(h), min(int(h) + 1, total - 1))}
-    places, before = [], 0
-    for rng, n in sizes:
-        places += [(rng, k - before + 1, k) for k in ranks if before <= k < before + n]
-        before += n
-    wanted = spark.createDataFrame(places, "rng int, place int, rank bigint")
-    numbered = ranges.join(F.broadcast(wanted.select("rng").distinct()), "rng").withColumn("place", F.row_number().over(Window.partitionBy("rng").orderBy("x")))
-    found = {r["rank"]: r["x"] for r in numbered.join(F.broadcast(wanted), ["rng", "place"]).select("rank", "x").collect()}
-    low = {p: found[int(h)] for p, h in at.items()}
-    return {p: low[p] + (found[min(int(h) + 1, total - 1)] - low[p]) * (h - int(h)) for p, h in at.items()}

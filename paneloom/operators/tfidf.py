@@ -109,3 +109,9 @@ def representatives(counts: DataFrame, key: str, top: DataFrame, label: str, mem
     hit = counts.join(best, "term").join(members, [key, label]).groupBy(label, key).agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("hits"), F.max(score).alias(score))
     w = Window.partitionBy(label).orderBy(F.desc("n_terms"), F.desc("hits"), F.desc(score), key)
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def vector_top_terms(weights: DataFrame, groups: Sequence[str], value: str = "mean_tfidf", n: int = 20) -> DataFrame:
+    """The n heaviest terms of each group's vector, those above 0 only (ties: by term); groups hold a vocabulary of terms, not documents."""
+    w = Window.partitionBy(*groups).orderBy(F.desc(value), "term")
+    return weights.where(F.col(value) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

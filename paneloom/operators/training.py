@@ -58,21 +58,23 @@ class TextModel:
 def fit(train: DataFrame, validation: DataFrame, text: str, labels: Sequence[str], prefix: str = "y_", penalties: Sequence[float] = (0.001, 0.01, 0.1), buckets: int = 1 << 14, iterations: int = 40) -> tuple[TextModel, DataFrame]:
     """The candidate of best validation macro-F1, and (penalty, metric, value) of all candidates. Positives weigh as many as negatives."""
     weights = {r["label"]: float(r["pos_weight"]) for r in metrics.class_weights(train, labels, prefix).collect()}
+    table = TextModel(list(labels), [], buckets)._features(train, text).select("_x", *(F.col(f"{prefix}{v}").cast("double").alias(f"{prefix}{v}") for v in labels)).persist()  # read once for each label and penalty
     best, report = None, None
-    for penalty in penalties:
-        model = TextModel(list(labels), [], buckets)
-        table = model._features(train, text).persist()
-        for label in labels:
-            y = F.col(f"{prefix}{label}").cast("double")
-            rows = table.select("_x", y.alias("label"), F.when(y == 1, max(weights[label], 1e-6)).otherwise(1.0).alias("w"))
-            model.models.append(LogisticRegression(featuresCol="_x", labelCol="label", weightCol="w", regParam=penalty, maxIter=iterations).fit(rows))
+    try:
+        for penalty in penalties:
+            model = TextModel(list(labels), [], buckets)
+            for label in labels:
+                y = F.col(f"{prefix}{label}")
+                rows = table.select("_x", y.alias("label"), F.when(y == 1, max(weights[label], 1e-6)).otherwise(1.0).alias("w"))
+                model.models.append(LogisticRegression(featuresCol="_x", labelCol="label", weightCol="w", regParam=penalty, maxIter=iterations).fit(rows))
+            found = evaluate(model, validation, text, prefix).withColumn("penalty", F.lit(penalty)).collect()
+            frame = train.sparkSession.createDataFrame([(r["penalty"], r["metric"], r["value"]) for r in found], "penalty double, metric string, value double")
+            report = frame if report is None else report.unionByName(frame)
+            score = next(r["value"] for r in found if r["metric"] == "macro_f1")
+            if best is None or score > best[0]:
+                best = (score, model)
+    finally:
         table.unpersist()
-        found = evaluate(model, validation, text, prefix).withColumn("penalty", F.lit(penalty)).collect()
-        frame = train.sparkSession.createDataFrame([(r["penalty"], r["metric"], r["value"]) for r in found], "penalty double, metric string, value double")
-        report = frame if report is None else report.unionByName(frame)
-        score = next(r["value"] for r in found if r["metric"] == "macro_f1")
-        if best is None or score > best[0]:
-            best = (score, model)
     return best[1], report
 
 
