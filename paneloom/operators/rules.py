@@ -70,18 +70,22 @@ def expand_pages(batches: DataFrame, pages: Column, batch: str) -> DataFrame:
     return out.withColumn("page_id", F.concat_ws("_", F.col(batch).cast("string"), F.lpad(F.col("page_no").cast("string"), 4, "0")))
 
 
-def stop_reasons(items: DataFrame, page: Sequence[str], day: str, page_no: str, page_count: str, start: str, time_sorted: Column | None = None) -> DataFrame:
-    """Why paging ends at a page: nothing listed, last page, or (sorted by time) items older than the start; else empty."""
-    listed = items.groupBy(*page).agg(F.count(day).alias("listed"), F.min(F.col(day).try_cast("date")).alias("oldest"), F.max(page_no).alias("_no"), F.max(page_count).alias("_of"))
+def stop_reasons(pages: DataFrame, start: str, time_sorted: Column | None = None, listed: str = "listed", oldest: str = "oldest", page_no: str = "page_no", page_count: str = "page_count") -> DataFrame:
+    """Why paging ends at a page: nothing listed, last page, or (sorted by time) items older than the start; else empty.
+
+    pages has a row for each page, also for one without items (``crawl.list_pages``); listed counts its items, dated or
+    not, and oldest is the oldest of their days, if any has one.
+    """
     by_time = time_sorted if time_sorted is not None else F.lit(True)
-    crossed = by_time & F.coalesce(F.col("oldest") < F.lit(start).cast("date"), F.lit(False))
-    reason = F.when(F.col("listed") == 0, "empty_list").when(F.col("_no") >= F.col("_of"), "reached_page_count").when(crossed, "page_crossed_target_start_date").otherwise("")
-    return listed.withColumn("stop_reason", reason).drop("_no", "_of")
+    crossed = by_time & F.coalesce(F.col(oldest) < F.lit(start).cast("date"), F.lit(False))
+    last = F.coalesce(F.col(page_no) >= F.col(page_count), F.lit(True))
+    return pages.withColumn("stop_reason", F.when(F.col(listed) == 0, "empty_list").when(last, "reached_page_count").when(crossed, "page_crossed_target_start_date").otherwise(""))
 
 
-def gates(spark, checks: Sequence[tuple[str, bool, str]]) -> DataFrame:
-    """(check, status, evidence) rows of a readiness report."""
-    return spark.createDataFrame([(n, "pass" if ok else "fail", e) for n, ok, e in checks], "check string, status string, evidence string")
+def gates(spark, checks: Sequence[tuple[str, bool | str, str]]) -> DataFrame:
+    """(check, status, evidence) rows of a readiness report; a check's result is whether it passed, or its status."""
+    status = lambda x: x if isinstance(x, str) else "pass" if x else "fail"
+    return spark.createDataFrame([(n, status(ok), e) for n, ok, e in checks], "check string, status string, evidence string")
 
 
 def require_gates(report: DataFrame) -> None:

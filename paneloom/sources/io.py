@@ -130,6 +130,18 @@ def resolve_globs(root: str | Path, patterns: str) -> list[str]:
     return sorted(str(Path(p).relative_to(root)) for p in found)
 
 
+MANIFEST = "source_id string, kind string, pattern string, files int, bytes bigint, status string"
+
+
+def manifest(spark: SparkSession, root: str | Path, sources: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """A row for each source (id, kind, patterns): how many files its patterns find below root, their size, and whether any is there."""
+    rows = []
+    for name, kind, patterns in sources:
+        found = [Path(root) / p for p in resolve_globs(root, patterns)]
+        rows.append((name, kind, patterns, len(found), sum(p.stat().st_size for p in found), "found" if found else "missing"))
+    return spark.createDataFrame(rows, MANIFEST)
+
+
 def flag(c: str) -> Column:
     """A flag that came as text."""
     return truthy(c)
