@@ -136,7 +136,7 @@ def tertile_units(spark, sf):
 def region_year_summary(spark, sf):
     nation, region = read_table(spark, sf, "nation"), read_table(spark, sf, "region")
     cross = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("unit"), "r_name")
-    named = keys.join_checked(keys.join_checked(cells(spark, sf), cross, ["unit"], validate="m:1"), _tertiles(spark, sf).select("unit", "tertile"), ["unit"], validate="m:1")
+    named = keys.join_checked(keys.join_checked(cells(spark, sf), cross, ["unit"], validate="m:1"), _tertiles(spark, sf).select("unit", "tertile"), ["unit"], validate="m:1", unique=("right",))
     return named.groupBy("r_name", "tertile", "period").agg(F.count(F.lit(1)).alias("cells"), F.sum("orders").alias("orders"), F.round(F.sum("value"), 2).alias("value"), F.round(F.avg("customers"), 6).alias("mean_customers"))
 
 
@@ -201,11 +201,31 @@ def final_panel(spark, sf):
     return panel.zscores(keys.join_checked(_selected(spark, sf), cross, ["unit"], validate="m:1"), _ZCOLS)
 
 
-@query("readiness_gates", f"""SELECT 'panel_balanced' AS "check", 'pass' AS status, 'cells=175' AS evidence UNION ALL SELECT 'other_share', CASE WHEN s <= 0.1 THEN 'pass' ELSE 'fail' END, 'share=' || printf('%.4f', s) FROM (SELECT round(avg(other_label), 4) AS s FROM {SCORED_SQL})""")
+_GATES = f"""WITH c AS (SELECT * FROM {cells_sql()}), s AS (SELECT round(avg(other_label), 4) AS share, bool_and(p_supply BETWEEN 0 AND 1 AND p_demand BETWEEN 0 AND 1 AND p_environment BETWEEN 0 AND 1 AND p_other BETWEEN 0 AND 1) AS valid, count(*) FILTER (o_orderpriority = '5-LOW' AND o_orderkey % 50 = 7) AS fallback FROM {SCORED_SQL}),
+b AS (SELECT count(*) AS n, count(*) = count(DISTINCT unit) * count(DISTINCT period) AS ok FROM c), r AS (SELECT round(min(spearman), 3) AS least FROM (SELECT spearman FROM ({_pair_sql('orders', 'customers', _RANKED, 'spearman')}) UNION ALL SELECT spearman FROM ({_pair_sql('orders', 'value', _RANKED, 'spearman')})))
+SELECT 'panel_balanced' AS "check", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, 'cells=' || n AS evidence FROM b
+UNION ALL SELECT 'probability_validity', CASE WHEN valid THEN 'pass' ELSE 'fail' END, 'in_range=' || CAST(valid AS VARCHAR) FROM s
+UNION ALL SELECT 'fallback_audit', CASE WHEN fallback > 0 THEN 'pass' ELSE 'fail' END, 'fallback=' || fallback FROM s
+UNION ALL SELECT 'other_share', CASE WHEN share <= 0.1 THEN 'pass' ELSE 'needs_review' END, 'share=' || printf('%.4f', share) FROM s
+UNION ALL SELECT 'dictionary_alignment', CASE WHEN least >= 0.5 THEN 'pass' ELSE 'needs_review' END, 'least=' || printf('%.3f', least) FROM r"""
+
+
+@query("readiness_gates", _GATES)
 def readiness_gates(spark, sf):
-    n = cells(spark, sf).agg(F.count(F.lit(1)).alias("n"), quality.balanced(cells(spark, sf), ["unit", "period"]).alias("b")).first()
-    share = scored_orders(spark, sf).agg(F.round(F.avg("other_label"), 4)).first()[0]
-    return rules.gates(spark, [("panel_balanced", n["b"], f"cells={n['n']}"), ("other_share", share <= 0.1, f"share={share:.4f}")])
+    """Balance, probabilities in range, rows that fell back, the share of other, and agreement with counts; every value is computed."""
+    panel_cells = cells(spark, sf)
+    n = panel_cells.agg(F.count(F.lit(1)).alias("n"), quality.balanced(panel_cells, ["unit", "period"]).alias("b")).first()
+    inside = F.lit(True)
+    for t in [*TOOLS, OTHER]:
+        inside = inside & F.col(f"p_{t}").between(0, 1)
+    s = scored_orders(spark, sf).agg(F.round(F.avg("other_label"), 4).alias("share"), F.bool_and(inside).alias("valid"), count_if(F.expr("o_orderpriority = '5-LOW' and o_orderkey % 50 = 7")).alias("fallback")).first()
+    pairs = stats.spearman(panel_cells, VARS, digits=9).where("left_variable = 'orders' and right_variable in ('customers', 'value')")
+    least = pairs.agg(F.round(F.min("spearman"), 3)).first()[0]
+    graded = lambda ok: "pass" if ok else "needs_review"
+    return rules.gates(spark, [
+        ("panel_balanced", n["b"], f"cells={n['n']}"), ("probability_validity", s["valid"], f"in_range={str(s['valid']).lower()}"), ("fallback_audit", s["fallback"] > 0, f"fallback={s['fallback']}"),
+        ("other_share", graded(s["share"] <= 0.1), f"share={s['share']:.4f}"), ("dictionary_alignment", graded(least >= 0.5), f"least={least:.3f}"),
+    ])
 
 
 @query("panel_quality", f"""WITH t AS (SELECT * FROM {cells_sql(SPARSE)}) SELECT 'cells' AS metric, CAST(count(*) AS VARCHAR) AS value, 'rows of the panel' AS note FROM t UNION ALL SELECT 'balanced', CAST(count(*) = count(DISTINCT unit) * count(DISTINCT period) AS VARCHAR), 'every unit in every period' FROM t UNION ALL SELECT 'empty_cells', CAST(count(*) FILTER (orders = 0) AS VARCHAR), 'cells filled with zero' FROM t UNION ALL SELECT 'total', CAST(CAST(sum(orders) AS BIGINT) AS VARCHAR), '' FROM t""")

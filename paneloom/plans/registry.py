@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from paneloom.plans import corpus, panels, review, terms  # noqa: E402, F401
+from paneloom.plans import corpus, crawling, panels, review, terms, workbook  # noqa: E402, F401

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from paneloom.functions import text as tx
 from paneloom.functions.numeric import to_date
 from paneloom.operators import crawl, keys, rules
-from paneloom.plans.common import ORDERS_SQL, unit_orders
 from paneloom.plans.registry import query
 from paneloom.plans.terms import FEATURES, documents, features
 from paneloom.session import read_table
@@ -28,6 +27,7 @@ def relabel_outside(spark, sf):
     return rules.relabel_outside(rules.windowed(o, ["day"], "1996-01-01", "1998-12-31"), "in_window", "status", "review").select("o_orderkey", "status", "review")
 
 
+# Two of the labels stand for another unit, as a source's labels may.
 _OVERRIDES = [(3, "moved to FRANCE", "reviewed"), (7, "moved to JAPAN", ""), (11, "moved to PERU", None)]
 
 
@@ -94,12 +94,6 @@ def page_queue_expand(spark, sf):
     return rules.expand_pages(read_table(spark, sf, "nation"), F.col("n_nationkey") % 4 + 1, "n_nationkey").select("n_nationkey", "page_no", "page_id")
 
 
-@query("stop_reasons", f"SELECT unit, period, count(*) AS listed, CAST(min({_DAY}) AS VARCHAR) AS oldest, CASE WHEN period - 1994 >= 5 THEN 'reached_page_count' WHEN min({_DAY}) < DATE '1995-06-01' THEN 'page_crossed_target_start_date' ELSE '' END AS stop_reason FROM {ORDERS_SQL} GROUP BY unit, period")
-def stop_reasons(spark, sf):
-    o = unit_orders(spark, sf).withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn("no", F.col("period") - 1994).withColumn("of", F.lit(5))
-    return rules.stop_reasons(o, ["unit", "period"], "day", "no", "of", "1995-06-01").withColumn("oldest", F.col("oldest").cast("string"))
-
-
 @query("outer_indicator", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side FROM (SELECT doc_id, lang FROM documents WHERE lang <> 'en') d FULL JOIN (SELECT doc_id, quality FROM labels) l ON d.doc_id = l.doc_id")
 def outer_indicator(spark, sf):
     left = documents(spark, sf).where("lang != 'en'").select("doc_id", "lang")

@@ -101,17 +101,27 @@ def no_hit_summary(spark, sf):
 _LOWER = features_sql("lower(coalesce(text, ''))")
 
 
+def _surfaces(spark, sf):
+    """The dictionary's measures of each text as it is and in lower case, from one scan."""
+    return dictionary.two_surfaces(documents(spark, sf), F.col("text"), F.lower("text"), CATEGORIES)
+
+
 @query("surface_transitions", " UNION ALL ".join(f"SELECT '{n}' AS category, {x} AS before_hit, {y} AS after_hit, count(*) FILTER (a.has_{n} = {x} AND b.has_{n} = {y}) AS records FROM {FEATURES} a JOIN {_LOWER} b USING (doc_id)" for n in NAMES for x in ("false", "true") for y in ("false", "true")))
 def surface_transitions(spark, sf):
-    lowered = documents(spark, sf).withColumn("text", F.lower("text"))
-    return dictionary.transitions(features(spark, sf), dictionary.row_features(lowered, "text", CATEGORIES), "doc_id", NAMES)
+    return dictionary.transitions_within(_surfaces(spark, sf), NAMES)
 
 
 @query("measure_deltas", "SELECT a.lang, " + ", ".join(f"a.{c} AS {c}_a, b.{c} AS {c}_b, b.{c} - a.{c} AS {c}_delta" for c in _HITS) + " FROM " + " JOIN ".join(f"(SELECT lang, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _HITS)} FROM {t} GROUP BY lang) {x}" for t, x in ((FEATURES, "a"), (_LOWER, "b"))) + " USING (lang)")
 def measure_deltas(spark, sf):
-    lowered = documents(spark, sf).withColumn("text", F.lower("text"))
-    a, b = (f.groupBy("lang").agg(*(F.sum(c).alias(c) for c in _HITS)) for f in (features(spark, sf), dictionary.row_features(lowered, "text", CATEGORIES)))
-    return dictionary.measure_deltas(a, b, ["lang"], _HITS)
+    sums = _surfaces(spark, sf).groupBy("lang").agg(*(F.sum(f"{p}_{c}").alias(f"{c}_{p}") for p in ("a", "b") for c in _HITS))
+    return dictionary.deltas_within(sums, _HITS).select("lang", *(f"{c}{x}" for c in _HITS for x in ("_a", "_b", "_delta")))
+
+
+@query("measure_deltas_joined", "SELECT a.lang, a.n - b.n AS dropped, a.c AS n_chars_a, b.c AS n_chars_b, b.c - a.c AS n_chars_delta FROM (SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS c FROM documents GROUP BY lang) a JOIN (SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS c FROM documents WHERE n_chars > 400 GROUP BY lang) b USING (lang)")
+def measure_deltas_joined(spark, sf):
+    both = [documents(spark, sf), documents(spark, sf).where("n_chars > 400")]
+    a, b = (d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")) for d in both)
+    return dictionary.measure_deltas(a, b, ["lang"], ["n", "n_chars"]).select("lang", (-F.col("n_delta")).alias("dropped"), "n_chars_a", "n_chars_b", "n_chars_delta")
 
 
 @query("term_text_join", f"SELECT category, term, count(*) AS records, min(doc_id) AS first_doc FROM documents JOIN (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{t}{chr(39)})' for c, ts in CATEGORIES.items() for t in ts)}) v(category, term) ON contains(text, term) GROUP BY ALL")
@@ -213,11 +223,17 @@ def vocabulary_build(spark, sf):
 
 @query("revision_effect", f"SELECT lang, CAST(sum(a.supply_hits) AS BIGINT) AS before_hits, CAST(sum(b.supply_hits) AS BIGINT) AS after_hits, round(coalesce((sum(b.supply_hits) - sum(a.supply_hits))::DOUBLE / nullif(sum(a.supply_hits), 0), 0.0), 6) AS relative_change FROM {FEATURES} a JOIN (SELECT doc_id, supply_hits FROM {_LOWER}) b USING (doc_id) GROUP BY lang")
 def revision_effect(spark, sf):
-    lowered = dictionary.row_features(documents(spark, sf).withColumn("text", F.lower("text")), "text", CATEGORIES).select("doc_id", F.col("supply_hits").alias("after"))
-    sums = features(spark, sf).join(lowered, "doc_id").groupBy("lang").agg(F.sum("supply_hits").alias("before_hits"), F.sum("after").alias("after_hits"))
+    sums = _surfaces(spark, sf).groupBy("lang").agg(F.sum("a_supply_hits").alias("before_hits"), F.sum("b_supply_hits").alias("after_hits"))
     return sums.withColumn("relative_change", F.round(dictionary.revision_effect(F.col("before_hits"), F.col("after_hits")), 6))
 
 
 @query("domain_term_totals", f"SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS documents, CAST(max(n) AS BIGINT) AS most FROM {_COUNTS} GROUP BY term")
 def domain_term_totals(spark, sf):
     return _weights(spark, sf)[2].groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("documents"), F.max("n").alias("most"))
+
+
+@query("vector_top_terms", f"SELECT lang, year, term, mean_tfidf, CAST(row_number() OVER (PARTITION BY lang, year ORDER BY mean_tfidf DESC, term) AS INTEGER) AS rank FROM {_MEANS} WHERE mean_tfidf > 0 QUALIFY row_number() OVER (PARTITION BY lang, year ORDER BY mean_tfidf DESC, term) <= 5")
+def vector_top_terms(spark, sf):
+    docs, _, _, weights = _weights(spark, sf)
+    means = tfidf.cell_means(weights, "doc_id", _members(docs), ["lang", "year"]).select("lang", "year", "term", "mean_tfidf")
+    return tfidf.vector_top_terms(means, ["lang", "year"], n=5)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from paneloom.operators import crawl, dictionary, keys, labeling, metrics, panel, quality, rules, sampling, stats
+from paneloom.operators import crawl, dictionary, keys, labeling, metrics, panel, quality, ranges, rules, sampling, stats
 from paneloom.plans.common import TOOLS
 from paneloom.sources import io
 from paneloom.streaming import incremental
@@ -24,8 +25,14 @@ def test_required_columns_and_unique_keys(spark):
     with pytest.raises(keys.ContractError):
         keys.assert_unique(df, ["k"])
     assert keys.duplicate_keys(df, ["k"]).count() == 2
-    with pytest.raises(keys.ContractError):
-        keys.join_checked(df.select("k"), df, ["k"], validate="m:1")
+    joined = keys.join_checked(df.select("k"), df, ["k"], validate="m:1")  # fails when it is run, not before
+    with pytest.raises(Exception, match="repeated"):
+        joined.collect()
+    ok = spark.createDataFrame([(1, "x"), (None, "y")], "k int, v string")
+    assert rows(keys.join_checked(df, ok, ["k"], "left", "m:1"), "v_a") == [(1, "a", "x"), (1, "b", "x"), (None, "c", None), (None, "d", None)]
+    assert rows(keys.once_each(ok.withColumn("a.b", F.lit(1)), ["k"]), "v") == [(1, "x", 1), (None, "y", 1)]
+    with pytest.raises(Exception, match="repeated"):
+        keys.once_each(df, ["k"]).count()
 
 
 def test_window_relabels_but_keeps(spark):
@@ -43,9 +50,25 @@ def test_provenance_in_order(spark):
 
 
 def test_stop_reasons(spark):
-    df = spark.createDataFrame([("p2", "2019-12-31", 2, 5), ("p5", "2021-01-01", 5, 5), ("p1", "2021-01-01", 1, 5), ("p3", None, 3, 5)], "page string, day string, no int, of int")
-    got = dict(rows(rules.stop_reasons(df, ["page"], "day", "no", "of", "2020-01-01").select("page", "stop_reason")))
-    assert got == {"p2": "page_crossed_target_start_date", "p5": "reached_page_count", "p1": "", "p3": "empty_list"}
+    listed = lambda no, of, *days: json.dumps({"result": {"data": {"pager": {"pageNo": no, "pageCount": of}, "list": [{"publish_time": d} for d in days]}}})
+    pages = [("p2", listed(2, 5, "2019-12-31", "2020-01-01")), ("p5", listed(5, 5, "2021-01-01")), ("p1", listed(1, 5, "2021-01-01")), ("undated", listed(3, 5, None, "soon")), ("none", listed(3, 5)), ("no list", "{}"), ("bad", "{x"), ("zero", listed(0, 0, "2021-01-01"))]
+    out = rules.stop_reasons(crawl.list_pages(spark.createDataFrame(pages, "page string, body string"), "body"), "2020-01-01")
+    assert dict(rows(out.select("page", "stop_reason"))) == {
+        "p2": "page_crossed_target_start_date", "p5": "reached_page_count", "p1": "", "undated": "", "none": "empty_list", "no list": "empty_list", "bad": "empty_list", "zero": "reached_page_count",
+    }
+
+
+def test_links_as_the_standard_library_joins_them(spark):
+    from urllib.parse import urljoin
+
+    base = "https://www.gov.cn/zhengce/xxgk/"
+    links = ["", "a.html", "/a/b.html", "//h.org/c", "../d.html", "../../../e", "./f/./g/../h", "..", ".", "?p=1", "#top", "http://x.org/y", "i/j/?q=a/../b#c/..", "k//l", "/m/../n/.", "https://o.cn"]
+    got = dict(rows(spark.createDataFrame([(x,) for x in links], "l string").select("l", crawl.resolve_url(F.col("l"), base))))
+    assert got == {x: urljoin(base, x) for x in links}
+
+
+def test_titles_are_plain(spark):
+    assert crawl.plain_title("A &amp; <b> B&nbsp;</b> C ") == "A &BC" and crawl.plain_title(None) == ""
 
 
 def test_overrides(spark):
@@ -75,7 +98,7 @@ def test_classified_panel(spark):
     assert all(v == 0 for k, v in got["上海", 2023].asDict().items() if k not in ("unit", "period"))
 
 
-@pytest.mark.parametrize("n,want", [(1, (1, 0, 0)), (2, (1, 0, 1)), (3, (2, 0, 1)), (5, (4, 1, 0)), (10, (7, 2, 1)), (15, (10, 2, 3)), (30, (21, 4, 5))])
+@pytest.mark.parametrize("n,want", [(1, (1, 0, 0)), (2, (1, 0, 1)), (3, (2, 0, 1)), (5, (3, 1, 1)), (10, (7, 2, 1)), (15, (10, 2, 3)), (30, (21, 4, 5))])
 def test_split_sizes(spark, n, want):
     train, valid = round(n * 0.7), round(n * 0.15)
     valid = min(valid, max(0, n - train))
@@ -83,9 +106,7 @@ def test_split_sizes(spark, n, want):
         valid, train = (valid - 1, train) if valid > 1 else (valid, train - 1)
     out = sampling.stratified_split(spark.range(n).withColumn("g", F.lit("x")), "id", "g").groupBy("split").count()
     got = dict(rows(out))
-    assert tuple(got.get(k, 0) for k in ("train", "validation", "test")) == (train, valid, n - train - valid)
-    if n != 5:
-        assert (train, valid, n - train - valid) == want
+    assert tuple(got.get(k, 0) for k in ("train", "validation", "test")) == (train, valid, n - train - valid) == want
 
 
 def test_pool_sample_draws_once(spark):
@@ -148,14 +169,31 @@ def test_statistics(spark):
     assert dup.agg(quality.duplicates_of("x")).first()[0] == 2
 
 
-def test_quantiles_by_sort(spark):
+def test_quantiles_by_range_sort(spark):
     import numpy as np
 
-    x = np.random.default_rng(1).integers(0, 40, 501).astype(float)
-    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
-    got = stats.quantiles_by_sort(df, "x", [0.0, 0.25, 0.333, 0.5, 0.75, 1.0], 7)
-    assert got == pytest.approx({p: np.quantile(x, p) for p in got})
-    assert stats.quantiles_by_sort(df.where("x < 0"), "x", [0.5]) == {0.5: None}
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 40, 501).astype(float), rng.normal(size=501)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y, strict=True)] + [(None, None, None)], "x double, y double, z double")
+    ps = [0.0, 0.25, 0.333, 0.5, 0.75, 1.0]
+    for small in (0, 10_000):
+        got = ranges.quantiles(df, ["x", "y", "z"], ps, small_rows=small, parts=7)
+        assert got["x"] == pytest.approx({p: np.quantile(x, p) for p in ps}) and got["y"] == pytest.approx({p: np.quantile(y, p) for p in ps})
+        assert got["z"] == dict.fromkeys(ps)
+
+
+def test_numbers_and_ranks_by_range_sort(spark):
+    import pandas as pd
+
+    rng = random.Random(4)
+    data = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(30), rng.choice([1.0, 2.0, 2.5, None])) for i in range(700)]
+    df = spark.createDataFrame(data, "id int, g string, o int, x double").repartition(5)
+    got = [sorted(rows(ranges.numbered(df, ["g"], ["o", "id"], small_rows=small, parts=9).select("id", "_n", "_i"))) for small in (0, 10_000)]
+    assert got[0] == got[1] and len(got[0]) == 700
+    frame = pd.DataFrame(data, columns=["id", "g", "o", "x"])
+    for small in (0, 10_000):
+        r = ranges.average_ranks(df, ["o", "x"], small_rows=small, parts=6).toPandas()
+        assert sorted(r.o) == sorted(frame.o.rank()) and sorted(r.x) == sorted(frame.x.rank(na_option="bottom"))
 
 
 def test_gates_stop(spark):
@@ -201,24 +239,55 @@ def test_answers(spark):
     assert got[5] == ("success", 1.0, 0.0, "one", False)
 
 
-def test_context_windows():
-    text = "x" * 200 + "政府采购" + "y" * 600 + "采购" + "z" * 50
-    got = labeling.context_windows(text, ["政府采购", "采购", "y"])
-    assert got.startswith("x" * 120 + "政府采购") and got.count("\n") == 0
-    assert labeling.context_windows(None, ["a"]) == "" and len(labeling.context_windows("a" * 5000, ["a"], most=100)) == 100
+def test_context_windows(spark):
+    texts = ["x" * 200 + "政府采购" + "y" * 600 + "采购" + "z" * 50, None, "a  b\t" * 2000, "", "采购 " * 3, "p" * 300 + "采购" + " " * 500 + "q" * 100 + "y"]
+    terms = ["政府采购", "采购", "y", "b"]
+    df = labeling.with_context(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", terms)
+    got = dict(rows(df.select("i", "context")))
+
+    def brute(text):  # every window that no accepted one overlaps, until the text is long enough
+        body, kept, out = "\n".join((text or "").split()), [], ""
+        for term in sorted(terms, key=lambda t: (-len(t), t)):
+            at = body.find(term)
+            a, z = max(0, at - labeling.LEFT), min(len(body), at + len(term) + labeling.RIGHT)
+            if at >= 0 and len(out) < labeling.MOST and all(z <= x or y <= a for x, y in kept):
+                kept.append((a, z))
+                out = "\n".join(p for p in [out, body[a:z].strip()] if p)
+        return out[: labeling.MOST]
+
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and any(got.values())
+    assert [r[0] for r in spark.createDataFrame([("b " * 900,)], "t string").select(labeling.context_windows(F.col("t"), ["b"], most=10)).collect()] == ["b b b b b "]
 
 
 def test_client_keeps_failures(spark):
     def client():
         def ask(r: str) -> str:
             if r == "b":
-                raise RuntimeError("no")
+                raise TimeoutError("no")
+            if r == "c":
+                raise ValueError("never")
             return r.upper()
 
         return ask
 
-    out = labeling.call_client(spark.createDataFrame([("a",), ("b",)], "q string"), "q", client, retries=1)
-    assert rows(out, "q") == [("a", "A", None), ("b", None, "RuntimeError: no")]
+    out = labeling.call_client(spark.createDataFrame([("a",), ("b",), ("c",)], "q string"), "q", client, retries=2)
+    assert rows(out, "q") == [("a", "A", None, 1), ("b", None, "TimeoutError: no", 3), ("c", None, "ValueError: never", 1)]
+
+
+def test_what_may_be_tried_again():
+    class Http(Exception):
+        def __init__(self, code):
+            self.code = code
+
+    assert [labeling.may_retry(Http(c)) for c in (400, 401, 404, 408, 409, 425, 429, 500, 503, 600)] == [False, False, False, True, True, True, True, True, True, False]
+    assert labeling.may_retry(ConnectionError()) and not labeling.may_retry(KeyError())
+
+
+def test_values_by_their_types(spark):
+    values = {"true": (1.0, True, ["True"]), '"false"': (0.0, True, ["false"]), '"0"': (0.0, True, ["0"]), "0": (0.0, False, ["0"]), '""': (0.0, False, []), '"0.5"': (0.5, True, ["0.5"]), "[]": (0.0, False, []), '[" a ", "", null, 2]': (0.0, True, ["a", "None", "2"]), '"[x, y]"': (0.0, True, ["[x, y]"]), "null": (0.0, False, [])}
+    raws = [json.dumps({"choices": [{"message": {"content": f'{{"p": {v}, "f": {v}, "e": {v}}}'}}]}) for v in values]
+    out = labeling.parse_answers(spark.createDataFrame(list(enumerate(raws)), "i int, raw string"), "raw", ["p"], ["e"], ["f"])
+    assert [tuple(r) for r in rows(out.select("p", "f", "e"), "i")] == list(values.values())
 
 
 def test_labelling_resumes_and_dry_runs(spark):
@@ -248,6 +317,26 @@ def test_text_surface_and_flags(spark):
     assert [r["review_flags"] for r in dictionary.review_flags(df, 2, ["the"]).collect()] == ["zero_coverage;short_term", "high_coverage;broad_term"]
 
 
+def test_manifest(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x")
+    got = io.manifest(spark, tmp_path, [("one", "csv", "*.csv; b/*.json"), ("two", "json", "none/*.json")])
+    assert rows(got, "source_id") == [("one", "csv", "*.csv; b/*.json", 1, 1, "found"), ("two", "json", "none/*.json", 0, 0, "missing")]
+
+
+def test_failed_pages_are_rows(spark):
+    df = spark.createDataFrame([(1, "https://g.cn/1", None, "t", "c1", "TimeoutError()")], "page_id int, url string, html string, t string, c string, e string")
+    out = crawl.parse_details(df, "page_id", "url", "html", title="t", candidate="c", error="e").first()
+    assert (out["parse_status"], out["review_status"], out["title"], out["policy_id"], out["body"], out["document_type"], out["text_hash"]) == ("detail_failed", "needs_review", "t", "c1", "", None, None)
+
+
+def test_review_candidates_are_typed_when_empty(spark):
+    from paneloom.operators import records
+
+    df = spark.createDataFrame([], "record_id string, source_name string, source_label_original string, unit string, publish_date string, publish_year int, title string, agency string, source_url string, review_reason string, review_suggestion string, review_evidence string, needs_review boolean")
+    out = records.review_candidates(df)
+    assert out.count() == 0 and out.schema["publish_year"].dataType.simpleString() == "int"
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,flag\n1,TRUE\n2,\n', encoding="utf-8")
     assert rows(io.read_csv_text(spark, str(tmp_path / "a.csv"), ["id"]), "id") == [("1", "TRUE"), ("2", "")]
