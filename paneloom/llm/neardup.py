@@ -11,23 +11,28 @@ emits single shingles, by the same argument, in a namespace that such sets share
 A few holders of a segment give all their pairs; of these, sizes and parity bit sketches (whose Hamming distance
 never exceeds the symmetric difference) rule most out. More holders are joined to the first of their run by size;
 each task joins its own entries first and passes on a few for each size step, so a segment held by very many
-sets does not gather in one task. The components of what is left are candidate families. A family is cut into
-blocks of bounded size by band; a task takes a pair of blocks, rules pairs out by size and Hamming distance and
-verifies the others on the whole sets. Pairs already connected are skipped, and each task returns a spanning
-forest of verified links; the components of these are the answer. Equal sets count once throughout.
+sets does not gather in one task. The components of what is left are candidate families.
+
+Each family has a centre, of a few members the one nearest to the others. First every member is verified against the
+centre alone, on the whole sets; most families are settled by that. Members that don't link with the centre are open.
+Open members are cut into blocks of bounded size by band, and so are the settled ones; a task takes two blocks, at
+least one of open members, rules pairs out by size and Hamming distance and verifies the others. Pairs already
+connected are skipped, and each task returns a spanning forest of verified links; the components of all links are the
+answer. Work and shuffle thus grow with the members and with open times all members / 512; only a family of very many
+sets that nearly link, but don't, costs the square. Equal sets count once throughout.
 
 Null, empty and white-space texts have an empty set and link with nothing. Repeated rows are members of one
 class. A null doc_id is kept and never is a component's name unless nothing else is there. An empty table gives
-an empty result. Only ``doc_id`` and ``text`` are read. Hashes have 64 bits and set fingerprints 64; a chance
-collision is the only inexactness.
+an empty result. Only ``doc_id`` and ``text`` are read; ``keep_one`` keeps all columns, whatever their names. Very long
+texts are hashed block by block; a task holds their shingle sets (8 bytes a word), two blocks of some 8 MB or two single
+sets at a time. Hashes have 64 bits and set fingerprints 64; a chance collision is the only inexactness.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -42,6 +47,9 @@ PERCENT = 80
 CELLS = 1 << 20
 BLOCK = 512
 FEW = 8
+PROBES = 16  # members of a family among which its centre is chosen, twice as many at most as a rule
+SEEN = 100_000  # fingerprints that a task remembers, some 10 MB; a set met twice is dropped by the reducer
+_LAST = np.iinfo(np.int64).max
 SPARSE_BAND = 64  # below this size each shingle has a segment of its own
 
 
@@ -108,8 +116,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return same > 0 and 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def spanning_links(left: list[int], right: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Verified links that connect all that the links of left x right connect (indices into sets).
+def spanning_links(left: list[int], right: list[int], sets: list[np.ndarray], percent: int = PERCENT, settled: Sequence[int] = ()) -> list[tuple[int, int]]:
+    """Verified links that connect all that the links of left x right connect (indices into sets); settled ones are connected from the start.
 
     First each set against the one that lies nearest to the others, then every pair that is not connected yet
     and that size and Hamming distance leave possible, nearest first.
@@ -120,6 +128,8 @@ def spanning_links(left: list[int], right: list[int], sets: list[np.ndarray], pe
     words = sketch_words(int(size.max()))
     sk = np.stack([parity_sketch(sets[m], words) for m in members])
     root = np.arange(len(members))
+    for m in settled:
+        root[pos[m]] = pos[settled[0]]
     links: list[tuple[int, int]] = []
 
     def try_link(i: int, j: int) -> None:
@@ -159,7 +169,7 @@ def _facts(src: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        for b in batches:
+        for b in tc.tidied(batches):
             n, fp, sketch = [], [], []
             for words in tc.texts_words(b.column(2), lower=True):
                 s = tc.shingle_set(words, SHINGLE)
@@ -169,7 +179,6 @@ def _facts(src: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], _i64(np.array(n, np.int64)), _i64(np.array(fp, np.uint64)), none, pa.array(sketch, pa.binary())], names)
-        tc.tidy()
         for k, part in enumerate(np.split(cells, CELLS_PARTS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names)
@@ -276,14 +285,14 @@ def _families(src: DataFrame, facts: DataFrame, counts: np.ndarray, parts: int,
                     where = (tc.mix(found[:, 0].copy()) % np.uint64(parts)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(where), _i64(found[:, 0]), _i64(found[:, 1]), pa.array([kind] * len(found)), pa.nulls(len(found), pa.binary())], names)
 
-        for batch in batches:
+        for batch in tc.tidied(batches):
             for words in tc.texts_words(batch.column(0), lower=True):
                 s = tc.shingle_set(words, SHINGLE)
                 fp = fingerprint(s)
                 if not len(s) or fp in seen:
                     continue
-                if len(seen) > 1_000_000:
-                    seen.clear()  # bounds memory; a set met twice is dropped by the reducer
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(fp)
                 sig = signatures(s, counts)
                 own = np.empty(len(sig), ENTRY)
@@ -323,19 +332,37 @@ def _families(src: DataFrame, facts: DataFrame, counts: np.ndarray, parts: int,
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pair", pa.bool_())])
 
 
+def central(members: list[dict]) -> int:
+    """Of (fp, n, sk) the fingerprint whose parity sketch is nearest to the others, by distance for each element."""
+    if len(members) < 3:
+        return min(m["fp"] for m in members)
+    sk = [np.frombuffer(m["sk"], np.uint64) for m in members]
+    width = min(map(len, sk))
+    folded = []
+    for x in sk:
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        folded.append(x)
+    table = np.stack(folded)
+    cost = [int(np.bitwise_count(table ^ row).sum(dtype=np.int64)) for row in table]
+    return min(zip(cost, (m["fp"] for m in members), strict=True))[1]
+
+
 def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) between fingerprints, a spanning forest for each pair of blocks of a family."""
-    # one row of documents for each fingerprint in a family, and its block there
-    reps = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    inside = family.join(reps, family["id"] == reps["fp"]).select("label", "fp", "rep", "n")
-    band = F.length(F.bin("n")).alias("band")
-    sizes = inside.groupBy("label", band).agg(F.count("fp").alias("m"), F.sum("n").alias("elements"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("elements") / 1_000_000)).cast("int")
-    plan = sizes.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks))).alias("nb"), F.sum("m").alias("m")).where("m > 1").drop("m")
-    placed = inside.withColumn("band", band).join(plan, "label").withColumn("block", F.expr("cast(pmod(xxhash64(fp), nb[band]) as int)"))
+    """Verified links (a, b) between fingerprints that connect all linked sets."""
+    # one row of documents for each fingerprint in a family
+    reps = facts.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("o"), "th", "doc_id")).alias("r"), F.max("n").alias("n"), F.min("sketch").alias("sk"))
+    members = scratch.keep(family.join(reps, family["id"] == reps["fp"]).selectExpr("label", "fp", "r.doc_id as rep", "r.th as rep_th", "n", "sk"), "members")
+    sizes = scratch.keep(members.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    inside = members.join(sizes, "label")
+    probes = inside.where(f"pmod(xxhash64(fp, label), greatest(1L, m div {PROBES})) = 0").groupBy("label").agg(F.collect_list(F.struct("fp", "n", "sk")).alias("x"))
+
+    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([central(x) for x in b.column(1).to_pylist()], pa.int64())], ["label", "centre"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tc.tidied(batches):
             keep, blob = [], []
             want = b.column(2).to_pylist()
             for i, words in enumerate(tc.texts_words(b.column(0), lower=True)):
@@ -344,30 +371,64 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
                     keep.append(i)
                     blob.append(s.tobytes())
             rest = pa.RecordBatch.from_arrays(b.columns[1:], b.schema.names[1:]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(blob, pa.binary())], ["label", "fp", "n", "nb", "band", "block", "s"])
-
-    fetched = (
-        src.join(placed, src["doc_id"].eqNullSafe(placed["rep"])).select("text", "label", "fp", "n", "nb", "band", "block")
-        .mapInArrow(sets, "label bigint, fp bigint, n bigint, nb map<int, int>, band int, block int, s binary")
-    )
-    # A task is a pair of blocks of one band, or of a band and the next for the sets that can reach over.
-    # side: 1 left, 2 right, 3 both.
-    own = "transform(sequence(0, nb[band] - 1), j -> struct(band as low, false as cross, least(block, j) as lo, greatest(block, j) as hi, if(j = block, 3, if(block < j, 1, 2)) as side))"
-    up = f"if(n * 100 div {PERCENT} >= shiftleft(1L, band) and nb[band + 1] is not null, transform(sequence(0, nb[band + 1] - 1), j -> struct(band as low, true as cross, block as lo, j as hi, 1 as side)), array())"
-    down = f"if(n * {PERCENT} <= 100 * (shiftleft(1L, band - 1) - 1) and nb[band - 1] is not null, transform(sequence(0, nb[band - 1] - 1), j -> struct(band - 1 as low, true as cross, j as lo, block as hi, 2 as side)), array())"
-    paired = fetched.select("label", "fp", "s", F.expr(f"explode(concat({own}, {up}, {down}))").alias("t")).select("label", "fp", "s", "t.*")
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("fp")
-        body = [np.frombuffer(x, np.uint64) for x in group["s"]]
-        side = group["side"].to_numpy()
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(blob, pa.binary())], ["label", "fp", "n", "m", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tc.tidied(batches):
+            ok = []
+            for fp, head, s, hs in zip(*(b.column(c) for c in range(1, 5)), strict=True):
+                same = fp.equals(head)
+                ok.append(same or (head.is_valid and linked(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(hs.as_buffer(), np.uint64))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok, pa.bool_())], ["label", "fp", "head", "settled"])
+
+    chosen = scratch.keep(probes.mapInArrow(centres, "label bigint, centre bigint"), "centres")
+    fetched = src.join(inside, (src["th"] == inside["rep_th"]) & src["doc_id"].eqNullSafe(inside["rep"])).select("text", "label", "fp", "n", "m")
+    held = scratch.keep(fetched.mapInArrow(sets, "label bigint, fp bigint, n bigint, m bigint, s binary"), "sets")
+    release_shuffles(src.sparkSession)
+    heads = scratch.keep(held.alias("h").join(chosen.alias("c"), F.expr("h.label = c.label and h.fp = c.centre")).selectExpr("h.label as label", "fp as head", "s as hs").dropDuplicates(["label"]), "heads")
+    star = scratch.keep(held.join(heads, "label", "left").select("label", "fp", "head", "s", "hs").mapInArrow(compare, "label bigint, fp bigint, head bigint, settled boolean"), "star")
+    links = star.where("settled and fp != head").selectExpr("head as a", "fp as b")
+    open_families = scratch.keep(star.where("not settled").join(sizes.where("m > 2"), "label").groupBy("label").agg(F.lit(1).alias("one")).select("label"), "open")
+    if open_families.isEmpty():
+        return links
+    rest = held.join(open_families, "label", "left_semi").join(star.select("label", "fp", "settled"), ["label", "fp"])
+    return links.unionByName(scratch.keep(_open_links(rest), "links"))
+
+
+def _open_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of open members with open and with settled ones, a spanning forest for each task; rows: label, fp, n, s, settled."""
+    rows = rows.withColumn("band", F.length(F.bin("n")))
+    sizes = rows.groupBy("label", "band", "settled").agg(F.count("fp").alias("k"), F.sum("n").alias("elements"))
+    nb = f"cast(greatest(ceil(k / {BLOCK}), ceil(elements / 1000000)) as int)"
+    listed = lambda flag: F.expr(f"map_from_entries(collect_list(struct(band, {nb})) filter (where settled = {flag}))")
+    plan = sizes.groupBy("label").agg(listed("false").alias("nu"), listed("true").alias("ns"))
+    placed = rows.join(plan, "label").withColumn("block", F.expr("cast(pmod(xxhash64(fp), if(settled, ns[band], nu[band])) as int)"))
+    # A task is two blocks of open members (kind 0), of one band or of a band and the next, or a block of open and one of
+    # settled members (kind 1), of one band or of neighbouring ones. side: 1 left, 2 right, 3 both.
+    may = {"band + 1": f"n * 100 div {PERCENT} >= shiftleft(1L, band)", "band": "true", "band - 1": f"n * {PERCENT} <= 100 * (shiftleft(1L, band - 1) - 1)"}
+    each = lambda nb, other, body: f"if({may[other]} and {nb}[{other}] is not null, transform(sequence(0, {nb}[{other}] - 1), j -> {body}), array())"
+    key = lambda kind, x, y, lo, hi, side: f"struct({kind} as kind, {x} as x, {y} as y, {lo} as lo, {hi} as hi, {side} as side)"
+    among = [
+        each("nu", "band", key(0, "band", "band", "least(block, j)", "greatest(block, j)", "if(j = block, 3, if(block < j, 1, 2))")),
+        each("nu", "band + 1", key(0, "band", "band + 1", "block", "j", 1)), each("nu", "band - 1", key(0, "band - 1", "band", "j", "block", 2)),
+    ]
+    out = [each("ns", other, key(1, "band", other, "block", "j", 1)) for other in may]
+    back = [each("nu", other, key(1, other, "band", "j", "block", 2)) for other in may]
+    tasks = f"if(settled, concat({', '.join(back)}), concat({', '.join([*among, *out])}))"
+    paired = placed.select("label", "fp", "s", "settled", F.expr(f"explode({tasks})").alias("t")).select("label", "fp", "s", "settled", "t.*")
+
+    def verify(group: pa.Table) -> pa.Table:
+        fps = group.column("fp").to_numpy()
+        _, once = np.unique(fps, return_index=True)
+        fps = fps[once]
+        body = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s").combine_chunks().take(pa.array(once))]
+        side, settled = (group.column(c).to_numpy()[once] for c in ("side", "settled"))
         left, right = (np.flatnonzero(side & k).tolist() for k in (1, 2))
-        fps = group["fp"].to_numpy()
-        links = spanning_links(left, right, body) if left and right else []
+        links = spanning_links(left, right, body, settled=np.flatnonzero(settled).tolist()) if left and right else []
         tc.tidy()
-        return pd.DataFrame({"a": [fps[i] for i, _ in links], "b": [fps[j] for _, j in links]}, dtype="int64")
+        return pa.table({"a": pa.array([int(fps[i]) for i, _ in links], pa.int64()), "b": pa.array([int(fps[j]) for _, j in links], pa.int64())})
 
-    return scratch.keep(paired.groupBy("label", "low", "cross", "lo", "hi").applyInPandas(verify, "a bigint, b bigint"), "links")
+    return paired.groupBy("label", "kind", "x", "y", "lo", "hi").applyInArrow(verify, "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -399,10 +460,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id (ties: smallest text hash). Documents with an empty set stay; all columns stay."""
     rows = _classes(docs)
-    first = rows.where("c is not null").groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "th", "doc_id")).alias("f")).select("f.doc_id", "f.th")
-    chosen = first.unionByName(rows.where("c is null").select("doc_id", "th").distinct()).selectExpr("doc_id as _id", "th as _th")
-    held = docs.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_text", F.xxhash64("text"))
-    return held.join(chosen, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    first = rows.where("c is not null").groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("o"), "th", "doc_id")).alias("f")).select("f.doc_id", "f.th")
+    chosen = first.unionByName(rows.where("c is null").select("doc_id", "th").distinct()).selectExpr("doc_id as kept_id", "th as kept_th")
+    # the input's columns travel in one struct, so no name of theirs can clash with those of the join
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    held = held.select("row", F.col("row.doc_id").cast("bigint").alias("key"), F.xxhash64("row.text").alias("text_hash"))
+    found = held.join(chosen, F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_th")), "left_semi")
+    return found.dropDuplicates(["key", "text_hash"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle_sql() -> str:
