@@ -7,8 +7,9 @@ the scans agree, and no look-ahead reaches back over it. The pieces between stit
 one, which gives the ids of the whole text. Where an overlap has no such position (a run without any break),
 the neighbours are joined and scanned as one. Decoding concatenates the raw bytes of the ids.
 
-Null and empty texts have no ids (n_tokens 0, digests of zero bytes). Rows are never dropped or merged;
-repeated rows give repeated results. Only ``doc_id`` and ``text`` of the input are read, so other columns may
+Null and empty texts have no ids (n_tokens 0, digests of zero bytes). An empty table gives an empty result. A very
+long text is cut at once, its chunks are scanned anywhere, and one task gathers and encodes them piece by piece: that
+task holds the text. Rows are never dropped or merged; repeated rows give repeated results. Only ``doc_id`` and ``text`` of the input are read, so other columns may
 have any name.
 """
 
@@ -83,17 +84,28 @@ def _stitch(ends: np.ndarray, text: str, nxt_start: int, nxt_ends: np.ndarray) -
 
 
 def stitch_pieces(chunks: list[tuple[int, str]], ends: list[np.ndarray], rescan) -> list[str]:
-    """Pieces of the text, cut where the scans of neighbouring chunks resynchronise; their concatenation is the text."""
+    """Pieces of the text, cut where the scans of neighbouring chunks resynchronise; their concatenation is the text.
+
+    Where they don't, the next chunk is joined and the piece scanned again; after each failure in a row twice as many
+    chunks are joined at once, so a long run without a break is scanned a few times over, not once for each chunk.
+    """
     pieces: list[str] = []
     at, text, own, begin = chunks[0][0], chunks[0][1], ends[0], 0
-    for (start, body), e in zip(chunks[1:], ends[1:], strict=True):
-        q = _stitch(own, text, start - at, e)
+    i, joins = 1, 1
+    while i < len(chunks):
+        start, body = chunks[i]
+        q = _stitch(own, text, start - at, ends[i])
         if q is None or q <= begin:
-            text = text[: start - at] + body
-            own = rescan(text[begin:]) + begin
+            taken = chunks[i : i + joins]
+            upto = [*(s - t for (t, _), (s, _) in zip(taken, taken[1:], strict=False)), None]
+            text = (text[: start - at] + "".join(b[:n] for (_, b), n in zip(taken, upto, strict=True)))[begin:]
+            at, begin = at + begin, 0
+            own = rescan(text)
+            i, joins = i + len(taken), 2 * joins
             continue
         pieces.append(text[begin:q])
-        text, own, begin, at = body, e, q - (start - at), start
+        text, own, begin, at = body, ends[i], q - (start - at), start
+        i, joins = i + 1, 1
     pieces.append(text[begin:])
     return pieces
 
