@@ -8,7 +8,8 @@ neighbouring documents into the same sequences. All sequences but the very last
 
 Ties in the key (equal texts) are ordered by doc_id, then by the row's own number, so a large group of copies
 is dealt over many range partitions. A null or empty text has only the end id. Repeated rows are packed each.
-An empty table gives no pieces. Only ``doc_id`` and ``text`` are read.
+An empty table gives no pieces. A very long text is tokenised whole by one task, which holds its ids. Only ``doc_id``
+and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ END_ID = 1
 DIMS = 4
 BITS = 12
 BUCKETS = 1024
+RANGE_ROWS = 500_000
 
 # Characters that every Unicode version classes alike: there the rank file gives the ids of the JSON file.
 _COMMON = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*")
@@ -127,8 +129,10 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
     tokens = scratch.keep(src.mapInArrow(tokenise, "doc_id bigint, curve bigint, n bigint, ids16 binary, ids32 binary").withColumn("rid", F.monotonically_increasing_id()), "tokens")
 
     # Range-sort the keys alone; each range adds up its tokens, and the sums of the ranges give every range its place.
+    # A range holds some RANGE_ROWS documents at any size of the corpus.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens.count() // RANGE_ROWS + 1)
     ranges = scratch.keep(
-        tokens.select("rid", "doc_id", "curve", "n").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "curve", "doc_id", "rid").withColumn("rng", F.spark_partition_id()),
+        tokens.select("rid", "doc_id", "curve", "n").repartitionByRange(parts, "curve", "doc_id", "rid").withColumn("rng", F.spark_partition_id()),
         "ranges",
     )
     sums = ranges.groupBy("rng").agg(F.sum("n").alias("s"))
