@@ -2,15 +2,16 @@
 
 Lines are normalised (lower case, digits to 0, white space collapsed) and hashed. For each host the distinct
 documents that hold a line are counted; equal texts count as one document, so copies do not make their own
-lines common. A line held by more than ``max(min_docs, host_share * documents of the host)`` distinct documents
+lines common. The limit of a host is ``host_share`` of its distinct documents, but not under ``min_docs`` nor over
+``max_docs``, so on a very large host it doesn't rise with the host. A line held by more distinct documents than that
 is removed, and a document that keeps less than ``min_left`` of its words is rejected.
 
 Lines are counted after a map-side sum per (host, line, text), so no host or line gathers in one task; the
 lines above the limit come back by a sort-merge join that may be split, and only line hashes move, no text.
 
 A null host is a host of its own. Null, empty and white-space texts have no words, fail the base rules and are
-not kept. Repeated rows are judged each. An empty table gives an empty result. Only ``doc_id``, ``text`` and
-``source`` are read.
+not kept. Repeated rows are judged each. An empty table gives an empty result. A very long text is split into its lines
+by one task, which holds them. Only ``doc_id``, ``text`` and ``source`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from paneloom.llm import textcore as tc
 from paneloom.session import Scratch, ship_package
 
-MIN_DOCS = 10
+MIN_DOCS, MAX_DOCS = 10, 100
 HOST_SHARE = 0.05
 MIN_LEFT = 0.5
 
@@ -80,7 +81,7 @@ def facts(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tc.tidied(batches):
             data, offsets = tc.utf8(b.column(2))
             for lo, hi in tc.slices(b.column(2)):
                 texts = [t or "" for t in b.column(2).slice(lo, hi - lo).to_pylist()]
@@ -107,13 +108,13 @@ def facts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text")).mapInArrow(measure, FACTS)
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS) -> DataFrame:
     """Per document: base measures, base_failed, n_common_words (words in lines above the limit) and kept."""
     scratch = Scratch(docs.sparkSession, "lines")
     d = scratch.keep(facts(docs).withColumn("rid", F.monotonically_increasing_id()), "facts")
     limits = (
         d.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("n"))
-        .select("host", F.greatest(F.lit(float(min_docs)), F.col("n") * F.lit(host_share)).alias("limit"))
+        .select("host", F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(max_docs)), F.col("n") * F.lit(host_share))).alias("limit"))
     )
     lines = d.select("rid", "host", "text_hash", F.explode("lines").alias("x")).select("rid", "host", "text_hash", "x.h", "x.w")
     held = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("one").alias("docs"))
@@ -130,9 +131,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SH
     )
 
 
-
-
-def oracle_sql(min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT) -> str:
+def oracle_sql(min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS) -> str:
     """The same rows with the normalised lines themselves in place of their hashes."""
     space = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     return rf"""
@@ -142,7 +141,7 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat FROM (SELECT rid, i FROM g
 li AS (SELECT rid, source, t, line, regexp_replace(regexp_replace(regexp_replace(lower(line), '{space}+', ' ', 'g'), '^ +| +$', '', 'g'), '[0-9]', '0', 'g') AS nl, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
 ln AS (SELECT * FROM li WHERE lw > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM ln GROUP BY rid),
-lim AS (SELECT source, greatest({min_docs}, {host_share} * count(DISTINCT t)) AS lim FROM d GROUP BY source),
+lim AS (SELECT source, greatest({min_docs}, least({max_docs}, {host_share} * count(DISTINCT t))) AS lim FROM d GROUP BY source),
 com AS (SELECT source, nl FROM (SELECT source, nl, count(DISTINCT t) AS docs FROM ln GROUP BY source, nl) JOIN lim USING (source) WHERE docs > lim),
 gone AS (SELECT rid, sum(lw) AS n_common FROM ln JOIN com USING (source, nl) GROUP BY rid),
 f AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
