@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paneloom.llm import bpe, langid, licenses, lines, media, neardup, packing, secrets, shards, suffixes
 from paneloom.session import Scratch, read_table
@@ -29,7 +30,10 @@ def op4_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.digests(shards.compacted(read_table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)[1])
+    """The rows of the compacted store, the number of versions that its arrivals made, and whether later versions merged shards."""
+    _, rows, told = shards.compacted(read_table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
+    merged = told["version"] > told["arrivals"] and sum(told["after"].values()) < sum(told["before"].values())
+    return shards.digests(rows).withColumns({"arrivals": F.lit(told["arrivals"]).cast("bigint"), "compacted": F.lit(merged)})
 
 
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +75,5 @@ ORACLES: dict[str, str] = {
     "op6_parity_join": neardup.oracle_sql(),
     "op7_line_frequency": lines.oracle_sql(),
     "op9_sparse_suffixes": suffixes.oracle_sql(),
-    "op5_shard_compaction": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+    "op5_shard_compaction": f"SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, (SELECT count(DISTINCT coalesce(doc_id, 0) % {shards.ARRIVALS}) FROM documents) AS arrivals, true AS compacted FROM documents",
 }
