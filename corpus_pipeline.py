@@ -4,8 +4,8 @@ Each stage works on all that its predecessor kept and returns the columns of doc
 pieces. ``run`` writes every stage's result to the shared folder and reads it again, so a lost executor costs
 the work of one stage at most.
 
-* language: documents whose language can't be told (null text, no letter) go; the machines' scores reject none, as
-  ``least_score`` is 0.
+* language: documents whose language can't be told go: those without a letter, and those on which the machines' votes
+  are little better than coin flips (``langid.LEAST_SCORE``). ``lang`` becomes the predicted language of the others.
 * near_duplicates: of each group linked by a Jaccard similarity of 0.8 of five-word shingles one document stays.
 * repeated_passages: later occurrences of passages of 50 words or more are cut from the texts; a document left
   without a word goes.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.llm import langid, neardup, packing, secrets, suffixes
-from paneloom.session import Scratch, read_table, release_shuffles
+from paneloom.session import Scratch, clear_scratch, mark_scratch, read_table, release_shuffles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,10 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
+    """All stages applied to documents. What a stage wrote for itself, and its predecessor's result, go when its own is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = mark_scratch(spark)
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        clear_scratch(spark, mark)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
         release_shuffles(spark)
     return docs
