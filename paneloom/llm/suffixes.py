@@ -186,6 +186,7 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        done: set[int] = set()
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,11 @@ def _extend(src: DataFrame, facts: DataFrame, grams: DataFrame, parts: int, scra
         for b in tc.tidied(batches):
             fps, reps, poss = (b.column(c).to_pylist() for c in (1, 2, 3))
             for i, words in enumerate(tc.texts_words(b.column(0), lower=True)):
-                if sequence_print(words) != fps[i] & (2**64 - 1):
-                    continue  # another text of the same doc_id and hash
+                if fps[i] in done or sequence_print(words) != fps[i] & (2**64 - 1):
+                    continue  # a row that repeats id and text, or another text of the same id and hash
+                if len(done) >= SEEN:
+                    done.clear()
+                done.add(fps[i])
                 g, at = minimisers(words)
                 s = np.flatnonzero(np.isin(at, np.asarray(poss[i], np.int64)))
                 w = window_hashes(g)[s].view(np.int64)

@@ -76,6 +76,28 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
 
 
+def test_members_that_do_not_link_with_the_centre(spark, monkeypatch):
+    """Chains and clusters in one family of candidates: most members are open after the first star, in every path."""
+    rng = random.Random(15)
+    base = words(rng, 150)
+    texts = []
+    for c in range(6):  # clusters that share most, but not enough, of the base; some linked by a chain
+        own = list(base)
+        for k in range(c * 6, c * 6 + 6):
+            own[k * 4] = f"c{c}_{k}"
+        for _ in range(30):
+            copy = list(own)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10_000)}"
+            texts.append(" ".join(copy))
+    want = brute_components(texts)[0]
+    for block in (8, 4096):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(texts)
+
+
 def test_emitted_segments_meet_for_every_linked_pair():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 1000, neardup.CELLS).astype(np.uint32)
@@ -221,6 +243,54 @@ def test_null_ids_and_repeated_rows(spark):
     assert neardup.near_duplicates(df).where(F.col("component_id") == 4).count() == 4
 
 
+def test_rows_that_repeat_id_and_text_in_a_family(spark):
+    rng = random.Random(19)
+    base = words(rng, 120)
+    texts, ids = [], []
+    for k in range(6):
+        copy = list(base)
+        for j in range(k * 3):
+            copy[j * 5] = f"v{k}_{j}"
+        texts += [" ".join(copy)] * 40
+        ids += [None if k % 2 else k] * 40
+    df = frame(spark, texts, ids).repartition(7)
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()), key=key)
+    want = brute_components(texts)[0]
+    smallest = {c: min((i for i, w in zip(ids, want, strict=True) if w == c and i is not None), default=None) for c in set(want)}
+    assert got == sorted(((i, smallest[w]) for i, w in zip(ids, want, strict=True)), key=key)
+    assert neardup.keep_one(df).count() == len(set(want))
+
+
+def test_long_texts_are_hashed_by_blocks():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    for _ in range(100):
+        text = "".join(rng.choice(["a", "Bc", " ", "\n", "é", "語", "xyz" * rng.randrange(1, 30)]) for _ in range(rng.randrange(0, 80)))
+        want = next(tc.texts_words(pa.array([text]), True))
+        for block in (1, 2, 3, 7, 64):
+            assert (tc.long_text_hashes(np.frombuffer(text.encode(), np.uint8), True, block) == want).all()
+    long = pa.array(["one", "w " * 400_000 + "x" * 1_500_000, None, "two"])
+    got = [len(w) for w in tc.texts_words(long, True)]
+    assert got == [1, 400_001, 0, 1]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(13)
+    body = words(rng, 300_000, 50_000)
+    copy = list(body)
+    for _ in range(2000):
+        copy[rng.randrange(len(copy))] = "changed"
+    texts = [" ".join(body), " ".join(copy), " ".join(body[:60]), "y" * 3_000_000]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    every, later = brute_windows(texts)
+    out = {r["doc_id"]: r["text"] for r in suffixes.remove_repeats(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert out[i].split() == [w for w, gone in zip(t.split(), later[i], strict=True) if not gone]
+
+
 def test_word_spans_as_python():
     import pyarrow as pa
 
