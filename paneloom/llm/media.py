@@ -1,18 +1,21 @@
 """Content-defined chunking of media payloads, a deduplicated chunk store and verified reconstruction.
 
-A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the 8-bit samples of a mono WAV file.
-A gear hash rolls over the stored bytes (32 bytes wide) and cuts where its top bits are zero, between a least
-and a greatest chunk length. Chunks are known by SHA-256, and each distinct medium has an ordered list of
-digests. Joins on the digests find the chunks that several media share; the smallest (medium, position) is the
-home of such a chunk, and the store keeps its payload there alone. A row of the store holds the payloads whose
-home is that medium, so most media are read back from one row; only shared chunks are joined in from their
-homes. Reading puts the chunks in order, checks length and SHA-256 against what was recorded at writing, and
-computes the features from the samples read back. A mismatch raises, it never passes silently.
+A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the 8-bit samples of a mono WAV file. Its
+header, which tells the length, is kept apart, so equal samples make equal chunks in media of any length. A gear hash
+rolls over the samples (32 bytes wide) and cuts where its top bits are zero, between a least and a greatest chunk length.
+Chunks are known by SHA-256, and each distinct medium has an ordered list of digests. Joins on the digests find the
+chunks that several media share; the smallest (medium, position) is the home of such a chunk, and the store keeps its
+payload there alone. A row of the store holds the header and the payloads whose home is that medium, so most media are
+read back from one row; only shared chunks are joined in from their homes. Reading puts the chunks in order, checks
+length and SHA-256 against what was recorded at writing, and computes the features from the samples read back. A
+mismatch raises, it never passes silently.
 
 Equal payloads are stored and read once and joined back to all rows that hold them, so a large group of copies
-costs one reconstruction. Payloads travel compressed, with a dictionary trained on at most ``dict_chunks``
-chunks. Null and empty texts give 64 zero samples. Repeated rows give repeated results; an empty table gives
-none. Only ``doc_id`` and ``text`` are read.
+costs one reconstruction. Payloads travel compressed, with a dictionary trained on the first chunks of at most
+``dict_chunks`` distinct texts, those with the smallest hash: the same on any number of executors, 24 MB at most on the
+driver. Null and empty texts give 64 zero samples. A very long text is one medium, which the tasks that write and read it
+hold whole. Repeated rows give repeated results; an empty table gives none. Only ``doc_id`` and ``text`` are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paneloom.llm.textcore import tidied
 from paneloom.session import Scratch, release_shuffles, ship_package
 
 ALIGN = 64
-MIN_CHUNK, CUT_BITS, MAX_CHUNK = 2_048, 12, 16_384
+MIN_CHUNK, CUT_BITS, MAX_CHUNK = 512, 11, 8_192  # some 2.5 KB a chunk: most texts have a few
 DICT_CHUNKS, DICT_BYTES, LEVEL = 3_000, 1 << 18, 6
 WAVES = 2
+SEEN = 100_000  # digests that a task remembers, some 15 MB; a medium met twice is dropped by the store
 SAMPLE_RATE = 8_000
 HEADER = 44
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
@@ -95,61 +100,64 @@ def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
 
-def _chunks(media: bytes) -> list[bytes]:
-    ends = gear_cuts(np.frombuffer(media, np.uint8))
-    return [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def _chunks(samples: bytes) -> list[bytes]:
+    ends = gear_cuts(np.frombuffer(samples, np.uint8))
+    return [samples[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
     """Per row: the medium's digest and ordered list of chunk digests. No payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 body, n = payload(text)
                 media = to_wav(body)
-                rows.append((doc_id, n, hashlib.sha256(body).digest(), hashlib.sha256(media).digest(), len(media), [hashlib.sha256(c).digest() for c in _chunks(media)]))
+                rows.append((doc_id, n, hashlib.sha256(body).digest(), hashlib.sha256(media).digest(), len(media), [hashlib.sha256(c).digest() for c in _chunks(body)]))
             yield _batch(rows, doc_id=pa.int64(), n_bytes=pa.int64(), payload_sha256=pa.binary(), media_sha256=pa.binary(), media_bytes=pa.int64(), chunks=pa.list_(pa.binary()))
 
     return docs.mapInArrow(run, LISTS)
 
 
 def train_dictionary(docs: DataFrame, rows: int, chunks: int = DICT_CHUNKS) -> bytes:
-    """A compression dictionary from a chunk of at most that many rows (64 MB at most); empty if there are too few."""
-    share = min(1.0, chunks / max(rows, 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    """A compression dictionary from the first chunks of at most that many distinct texts; empty if there are too few."""
+    share = min(1.0, (1.5 * chunks + 100) / max(rows, 1))
+    hashed = docs.select("text", F.xxhash64("text", F.lit(5)).alias("h")).where(F.pmod("h", F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    once = hashed.groupBy("h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _batch([(_chunks(to_wav(payload(t)[0]))[0],) for t in b.column(1).to_pylist()], body=pa.binary())
+            yield _batch([(h, _chunks(payload(t)[0])[0]) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], h=pa.int64(), body=pa.binary())
 
-    found = sorted(bytes(r["body"]) for r in picked.mapInArrow(run, "body binary").limit(2 * chunks).collect())[:chunks]
+    near = once.select("h", "text").mapInArrow(run, "h bigint, body binary").orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(chunks)
+    found = [bytes(r["body"]) for r in near.collect()]
     if len(found) < 100:
         return b""
     return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, found)) // 8), found).as_bytes()
 
 
 def media_payloads(docs: DataFrame, dictionary: bytes, wave: int = 0, waves: int = 1) -> DataFrame:
-    """(media_sha256, media_bytes, z): the compressed chunks of each medium of a wave (by its digest), once for each task that meets it."""
+    """(media_sha256, media_bytes, head, z): the header and the compressed chunks of each medium of a wave (by its digest), once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         seen: set[bytes] = set()
-        for b in batches:
+        for b in tidied(batches):
             rows = []
             for text in b.column(1).to_pylist():
-                media = to_wav(payload(text)[0])
+                body = payload(text)[0]
+                media = to_wav(body)
                 d = hashlib.sha256(media).digest()
                 if d[0] % waves != wave or d in seen:
                     continue
-                if len(seen) > 500_000:
-                    seen.clear()  # bounds memory; the store drops what is met twice
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(d)
-                rows.append((d, len(media), [press.compress(c) for c in _chunks(media)]))
-            yield _batch(rows, media_sha256=pa.binary(), media_bytes=pa.int64(), z=pa.list_(pa.binary()))
+                rows.append((d, len(media), media[:HEADER], [press.compress(c) for c in _chunks(body)]))
+            yield _batch(rows, media_sha256=pa.binary(), media_bytes=pa.int64(), head=pa.binary(), z=pa.list_(pa.binary()))
 
-    return docs.mapInArrow(run, "media_sha256 binary, media_bytes bigint, z array<binary>")
+    return docs.mapInArrow(run, "media_sha256 binary, media_bytes bigint, head binary, z array<binary>")
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -173,9 +181,9 @@ def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     dictionary = train_dictionary(src, lists.count())
     waves = []
     for i in range(WAVES):  # payloads are shuffled a part at a time, so that few are on disk twice
-        bodies = media_payloads(src, dictionary, i, WAVES).groupBy("media_sha256").agg(F.first("media_bytes").alias("media_bytes"), F.first("z").alias("z"))
+        bodies = media_payloads(src, dictionary, i, WAVES).groupBy("media_sha256").agg(F.first("media_bytes").alias("media_bytes"), F.first("head").alias("head"), F.first("z").alias("z"))
         part = bodies.join(marks, "media_sha256", "left").selectExpr(
-            "media_sha256", "media_bytes", "size(z) as n_chunks",
+            "media_sha256", "media_bytes", "head", "size(z) as n_chunks",
             "filter(transform(z, (x, i) -> struct(i as at, x as z, coalesce(array_contains(lent, i), false) as lent)), p -> not coalesce(array_contains(borrowed, p.at), false)) as parts",
         )
         waves.append(scratch.keep(part, "store"))
@@ -191,21 +199,21 @@ def _places(lists: DataFrame) -> DataFrame:
 
 def read_media(lists: DataFrame, shared: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
     """Per distinct medium: payload_bytes, payload_sha256, tail_crc32, feature, from the chunks of the store."""
-    whole = store.where("size(parts) = n_chunks").selectExpr("media_sha256", "media_bytes", "transform(parts, p -> struct(p.at, p.z)) as parts")
+    whole = store.where("size(parts) = n_chunks").selectExpr("media_sha256", "media_bytes", "head", "transform(parts, p -> struct(p.at, p.z)) as parts")
     lent = store.select("media_sha256", F.expr("explode(filter(parts, p -> p.lent))").alias("p")).select(F.struct("media_sha256", "p.at").alias("home"), "p.z")
     offered = shared.join(lent, "home").select("digest", "z")
     borrowed = _places(lists).join(shared, "digest").where("home != struct(media_sha256, at)").select("media_sha256", "at", "digest")
-    filled = borrowed.join(offered, "digest").selectExpr("media_sha256", "cast(null as bigint) as media_bytes", "at", "z")
-    own = store.where("size(parts) < n_chunks").select("media_sha256", "media_bytes", F.expr("explode_outer(parts)").alias("p")).select("media_sha256", "media_bytes", "p.at", "p.z")
-    gathered = own.unionByName(filled).groupBy("media_sha256").agg(F.max("media_bytes").alias("media_bytes"), F.expr("array_sort(collect_list(struct(at, z)) filter (where at is not null))").alias("parts"))
+    filled = borrowed.join(offered, "digest").selectExpr("media_sha256", "cast(null as bigint) as media_bytes", "cast(null as binary) as head", "at", "z")
+    own = store.where("size(parts) < n_chunks").select("media_sha256", "media_bytes", "head", F.expr("explode_outer(parts)").alias("p")).select("media_sha256", "media_bytes", "head", "p.at", "p.z")
+    gathered = own.unionByName(filled).groupBy("media_sha256").agg(F.max("media_bytes").alias("media_bytes"), F.max("head").alias("head"), F.expr("array_sort(collect_list(struct(at, z)) filter (where at is not null))").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
-        for b in batches:
+        for b in tidied(batches):
             rows = []
             for i in range(b.num_rows):
-                digest, size, parts = (b.column(c)[i].as_py() for c in range(3))
-                media = b"".join(unpress.decompress(p["z"]) for p in parts)
+                digest, size, head, parts = (b.column(c)[i].as_py() for c in range(4))
+                media = b"".join([head, *(unpress.decompress(p["z"]) for p in parts)])
                 if len(media) != size or hashlib.sha256(media).digest() != digest:
                     raise ValueError(f"medium {digest.hex()} can't be reconstructed")
                 body = from_wav(media)
