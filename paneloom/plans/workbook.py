@@ -158,3 +158,11 @@ def variable_map(spark, sf):
     if panel.check_variables(cells, table).columns != ["panel_id", "unit", "period", "orders"]:
         raise keys.ContractError("the panel's columns are not those of its map")
     return table
+
+
+@query("promoted_header", "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS region FROM region")
+def promoted_header(spark, sf):
+    """A table whose first row names its columns."""
+    body = read_table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("line"), F.col("r_regionkey").cast("string").alias("c1"), F.col("r_name").alias("c2"))
+    head = spark.createDataFrame([(0, " id", "region ")], "line bigint, c1 string, c2 string")
+    return io.promote_header(body.unionByName(head), "line")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import csv
 import glob
 import json
+import os
 import tomllib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from paneloom.functions.text import safe_name, truthy
 from paneloom.operators.keys import require_columns
+from paneloom.sources import xlsx
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -33,20 +35,30 @@ def read_csv_text(spark: SparkSession, path: str, required: Iterable[str] = ())
     return require_columns(df, list(required))
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str, renames: dict[str, str]) -> DataFrame:
-    """A workbook's sheet as text under canonical names. Parquet and CSV exports are read by Spark; xlsx needs openpyxl."""
+def read_workbook(spark: SparkSession, path: str, sheet: str | None, renames: dict[str, str]) -> DataFrame:
+    """A workbook's sheet as text under canonical names: an .xlsx file that the driver reads, or its Parquet or CSV export."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in renames))
     elif path.endswith(".csv"):
         df = read_csv_text(spark, path)
     else:
-        import pandas as pd
-
-        frame = pd.read_excel(path, sheet_name=sheet, dtype=str)
-        df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), T.StructType([T.StructField(c, T.StringType()) for c in frame.columns]))
+        head, *body = [*xlsx.rows(path, sheet)] or [[]]
+        names = [h if h is not None else f"column_{i}" for i, h in enumerate(head, 1)]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        df = spark.createDataFrame([(*r, *[None] * len(names))[: len(names)] for r in body if any(v is not None for v in r)], schema)
     return require_columns(df, list(renames)).select(*(F.col(f"`{a}`").alias(b) for a, b in renames.items()))
 
 
+def promote_header(df: DataFrame, order: str) -> DataFrame:
+    """df with the values of its first row (by the order column) as column names, and without that row and the order column."""
+    columns = [c for c in df.columns if c != order]
+    first = df.orderBy(order).first()
+    if first is None:
+        return df.drop(order)
+    names = [first[c] if first[c] is not None and str(first[c]).strip() else c for c in columns]
+    return df.where(F.col(order) > F.lit(first[order])).select(*(F.col(f"`{c}`").alias(str(n).strip()) for c, n in zip(columns, names, strict=True)))
+
+
 def parquet_layout(path: str) -> dict:
     """Rows, row groups and their sizes of a local Parquet file, from its footer."""
     import pyarrow.parquet as pq
@@ -83,10 +95,20 @@ def page_path(folder: str, source: str, batch: str, page: int) -> str:
     return f"{folder.rstrip('/')}/{source}_{batch}_page_{page:03d}.json"
 
 
-def cached_payload(folder: str, source: str, batch: str, page: int, older: str | None = None) -> str | None:
+def exists_in(spark: SparkSession) -> Callable[[str], bool]:
+    """Whether a path is there, in any file system that Spark reaches."""
+
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    return there
+
+
+def cached_payload(folder: str, source: str, batch: str, page: int, older: str | None = None, exists: Callable[[str], bool] = os.path.exists) -> str | None:
     """The kept payload of a page; for page 1 an older file may stand in; None if there is neither."""
     options = [page_path(folder, source, batch, page), *([older] if older and page == 1 else [])]
-    return next((p for p in options if Path(p).exists()), None)
+    return next((p for p in options if exists(p)), None)
 
 
 def write_artifact(path: str | Path, value: object) -> None:

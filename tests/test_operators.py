@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paneloom.operators import crawl, dictionary, keys, labeling, metrics, panel, quality, ranges, rules, sampling, stats
 from paneloom.plans.common import TOOLS
-from paneloom.sources import io
+from paneloom.sources import io, xlsx
 from paneloom.streaming import incremental
 
 
@@ -317,6 +317,42 @@ def test_text_surface_and_flags(spark):
     assert [r["review_flags"] for r in dictionary.review_flags(df, 2, ["the"]).collect()] == ["zero_coverage;short_term", "high_coverage;broad_term"]
 
 
+def test_xlsx(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    path = str(tmp_path / "book.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="空" sheetId="1" r:id="rId1"/><sheet name="数据" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>标题</t></si><si><r><t>专精</t></r><r><t>特新</t></r><rPh><t>x</t></rPh></si><si><t>发文日期</t></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"""<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>2</v></c><c r="AA1" t="inlineStr"><is><t>远</t></is></c></row>
+<row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><v>2</v></c><c r="C2" s="1"><v>45296</v></c></row><row r="3"><c r="A3" t="b"><v>1</v></c><c r="B3" s="3"><v>2.5</v></c><c r="C3" s="2"><v>45296.5</v></c><c r="AA3" t="str"><v>z</v></c></row><row r="4"/></sheetData></worksheet>""")
+    assert list(xlsx.sheets(path)) == ["空", "数据"] and list(xlsx.rows(path)) == []
+    got = io.read_workbook(spark, path, "数据", {"标题": "title", "发文日期": "day", "远": "far"})
+    assert rows(got, "day") == [("专精特新", "2024-01-05 00:00:00", None), ("TRUE", "2024-01-05 12:00:00", "z")]
+    found = list(xlsx.rows(path, "数据"))
+    assert [r[1] for r in found[:3]] == [None, "2", "2.5"] and len(found[0]) == 27 and found[3] == []
+    with pytest.raises(ValueError, match="no sheet"):
+        list(xlsx.rows(path, "x"))
+
+
+def test_configurations(tmp_path, spark):
+    (tmp_path / "a.toml").write_text('source_id = "x"\n[window]\nstart = "2020-01-01"\n', encoding="utf-8")
+    assert io.load_toml(tmp_path / "a.toml")["window"]["start"] == "2020-01-01"
+    (tmp_path / "b.csv").write_text("\ufeffbatch,keyword,enabled\n1,k,TRUE\n2,,no\n3,m,yes\n", encoding="utf-8")
+    assert [b["batch"] for b in io.load_batches(tmp_path / "b.csv")] == ["1", "3"]
+    io.write_artifact(tmp_path / "s_b_page_001.json", {})
+    there = io.exists_in(spark)
+    assert io.cached_payload(f"file://{tmp_path}", "s", "b", 1, exists=there).endswith("page_001.json") and io.cached_payload(f"file://{tmp_path}", "s", "b", 2, exists=there) is None
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
+    part = next((tmp_path / "p").glob("*.parquet"))
+    layout = io.parquet_layout(str(part))
+    assert (layout["rows"], layout["columns"], sum(g["rows"] for g in layout["groups"])) == (10, 1, 10)
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x")
     got = io.manifest(spark, tmp_path, [("one", "csv", "*.csv; b/*.json"), ("two", "json", "none/*.json")])
