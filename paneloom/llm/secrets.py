@@ -35,24 +35,23 @@ TREES, DEPTH, SEED = 30, 8, 19
 THRESHOLD = 0.5
 CONTEXT = 60
 
-# Ends of words in ASCII: what \b means outside ASCII differs between versions of Java.
-_START, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# Starts and ends of words in ASCII: what \b means outside ASCII differs between versions of Java.
+_START, _END = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-# Key formats, and names whose assigned value may be secret. One alternative for each kind. A candidate
-# is the whole value whatever its length: quantifiers are open and possessive, so a long one is read once, without
-# recursion. A mixed string has a digit; the start of its run looks for one as far as the run goes, places within at 40.
+# Key formats, and names whose assigned value may be secret. One alternative for each kind; all but the
+# first start with a word. A candidate is the whole value whatever its length: quantifiers are open and possessive, so a
+# long one is read once, without recursion. A mixed string is a whole run of its characters that has a digit.
 KINDS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,20}PRIVATE KEY-----",
-    "aws_key_id": rf"{_START}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}",
-    "github_token": rf"{_START}gh[pousr]_[A-Za-z0-9]{{36,}}+{_END}",
-    "google_key": rf"{_START}AIza[0-9A-Za-z_\-]{{35,}}+",
-    "slack_token": rf"{_START}xox[abprs]-[0-9A-Za-z\-]{{10,}}+",
-    "json_web_token": rf"{_START}eyJ[A-Za-z0-9_\-]{{10,}}+\.[A-Za-z0-9_\-]{{10,}}+\.[A-Za-z0-9_\-]{{10,}}+",
-    "assigned": rf"(?i:{_START}(?:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?)[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[\"']?[^\s\"'<>,;]{{6,}}+",
-    "mixed_string": rf"{_EDGE}(?:(?=[A-Za-z_+/\-]{{0,40}}[0-9])|(?<=(?:^|[^A-Za-z0-9_+/\-])[+/\-]{{0,8}})(?=[A-Za-z_+/\-]*+[0-9]))[A-Za-z0-9_+/\-]{{24,}}+={{0,2}}",
+    "aws_key_id": rf"(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}",
+    "github_token": rf"gh[pousr]_[A-Za-z0-9]{{36,}}+{_END}",
+    "google_key": r"AIza[0-9A-Za-z_\-]{35,}+",
+    "slack_token": r"xox[abprs]-[0-9A-Za-z\-]{10,}+",
+    "json_web_token": r"eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+",
+    "assigned": r"(?i:(?:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?)[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?[^\s\"'<>,;]{6,}+",
+    "mixed_string": r"(?=[A-Za-z0-9_+/\-]{24})(?<=(?:^|[^A-Za-z0-9_+/\-])[+/\-]{0,8})(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{24,}+={0,2}",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+ANY = f"{KINDS['private_key']}|{_START}(?:{'|'.join(p for k, p in KINDS.items() if k != 'private_key')})"
 ASSIGNED_NAME = r"^(?i:[a-z_\-]{3,12})[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?"
 
 # Words for dictionary coverage.
