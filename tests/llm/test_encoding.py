@@ -34,6 +34,20 @@ def test_pieces_give_the_ids_of_the_whole(parts, chunk, overlap):
     assert [i for p in pieces for i in c.encode(p)] == c.encoding.encode_ordinary(text)
 
 
+def test_a_run_without_a_break_is_not_scanned_again_and_again():
+    c, scanned = bpe.codec(RANKS, P.PATTERN), []
+
+    def rescan(text):
+        scanned.append(len(text))
+        return c.bounds(text)
+
+    text = "a b" + "x" * 60_000 + " c d"
+    chunks = bpe.split_chunks(text, 100, 20)
+    pieces = bpe.stitch_pieces(chunks, [c.bounds(b) for _, b in chunks], rescan)
+    assert "".join(pieces) == text and sum(scanned) < 6 * len(text)
+    assert [i for p in pieces for i in c.encode(p)] == c.encoding.encode_ordinary(text)
+
+
 def test_encode_as_library(spark, library):
     rng = random.Random(4)
     texts = [*ODD, " ".join(rng.choice(["the", "don't", "naïve", "42", "--", "\n"]) for _ in range(9000))]

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from paneloom.llm import secrets
+from paneloom.llm import langid, secrets
 from paneloom.session import Scratch
 from tests.llm.helpers import ODD, SCHEMA, empty, extra, words
 from tests.llm.test_near import brute_components, brute_windows
@@ -28,10 +28,13 @@ def texts():
     return body + rest + ODD
 
 
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "en" if i % 2 else "de", f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)], SCHEMA)
+
+
 @pytest.fixture(scope="module")
 def stages(spark, texts):
-    rows = [(i, t, "en" if i % 2 else "de", f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
-    scratch, docs, out = Scratch(spark, "test"), extra(spark.createDataFrame(rows, SCHEMA)), []
+    scratch, docs, out = Scratch(spark, "test"), extra(table(spark, texts)), []
     for name, stage in cp.STAGES:
         docs = scratch.keep(stage(spark, docs, ""), name)
         out.append(docs)
@@ -48,9 +51,12 @@ def test_stage_columns(stages):
         assert (s.text.str.len() == s.n_chars).all()
 
 
-def test_each_stage_against_brute_force(stages, texts):
+def test_each_stage_against_brute_force(spark, stages, texts):
+    told = {r["doc_id"]: r for r in langid.identify(table(spark, texts)).collect()}
     first, second, third, fourth = map(by_id, stages[:4])
-    assert first == {i: t for i, t in enumerate(texts) if t and any(map(str.isalpha, t))}
+    assert first == {i: t for i, t in enumerate(texts) if told[i]["lang_pred"] != "und" and told[i]["score"] >= langid.LEAST_SCORE}
+    assert dict(zip(stages[0].doc_id, stages[0].lang, strict=True)) == {i: told[i]["lang_pred"] for i in first}
+    assert {i for i, t in enumerate(texts) if not (t and any(map(str.isalpha, t)))}.isdisjoint(first) and len(first) > 20
     ids = sorted(first)
     want, _ = brute_components([first[i] for i in ids])
     assert second == {i: first[i] for k, i in enumerate(ids) if want[k] == k}
