@@ -15,6 +15,8 @@ sets does not gather in one task. The components of what is left are candidate f
 
 Each family has a centre, of a few members the one nearest to the others. First every member is verified against the
 centre alone, on the whole sets; most families are settled by that. Members that don't link with the centre are open.
+Where a family has many of them, all its members are verified against some of the open ones, too, and those outside
+the largest component of the links found so far stay open.
 Open members are cut into blocks of bounded size by band, and so are the settled ones; a task takes two blocks, at
 least one of open members, rules pairs out by size and Hamming distance and verifies the others. Pairs already
 connected are skipped, and each task returns a spanning forest of verified links; the components of all links are the
@@ -362,12 +364,18 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([central(x) for x in b.column(1).to_pylist()], pa.int64())], ["label", "centre"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in tc.tidied(batches):
             keep, blob = [], []
             want = b.column(2).to_pylist()
             for i, words in enumerate(tc.texts_words(b.column(0), lower=True)):
+                if want[i] in seen:
+                    continue  # a row that repeats id and text
                 s = tc.shingle_set(words, SHINGLE)
                 if fingerprint(s) == want[i] & (2**64 - 1):
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(want[i])
                     keep.append(i)
                     blob.append(s.tobytes())
             rest = pa.RecordBatch.from_arrays(b.columns[1:], b.schema.names[1:]).take(pa.array(keep, pa.int64()))
@@ -383,18 +391,50 @@ def _verified(src: DataFrame, facts: DataFrame, family: DataFrame, scratch: Scra
 
     chosen = scratch.keep(probes.mapInArrow(centres, "label bigint, centre bigint"), "centres")
     fetched = src.join(inside, (src["th"] == inside["rep_th"]) & src["doc_id"].eqNullSafe(inside["rep"])).select("text", "label", "fp", "n", "m")
-    held = scratch.keep(fetched.mapInArrow(sets, "label bigint, fp bigint, n bigint, m bigint, s binary"), "sets")
+    held = scratch.keep(fetched.mapInArrow(sets, "label bigint, fp bigint, n bigint, m bigint, s binary").dropDuplicates(["fp"]), "sets")
     release_shuffles(src.sparkSession)
-    heads = scratch.keep(held.alias("h").join(chosen.alias("c"), F.expr("h.label = c.label and h.fp = c.centre")).selectExpr("h.label as label", "fp as head", "s as hs").dropDuplicates(["label"]), "heads")
+    heads = scratch.keep(held.alias("h").join(chosen.alias("c"), F.expr("h.label = c.label and h.fp = c.centre")).selectExpr("h.label as label", "fp as head", "s as hs"), "heads")
     star = scratch.keep(held.join(heads, "label", "left").select("label", "fp", "head", "s", "hs").mapInArrow(compare, "label bigint, fp bigint, head bigint, settled boolean"), "star")
     links = star.where("settled and fp != head").selectExpr("head as a", "fp as b")
-    open_families = scratch.keep(star.where("not settled").join(sizes.where("m > 2"), "label").groupBy("label").agg(F.lit(1).alias("one")).select("label"), "open")
-    if open_families.isEmpty():
+    still = scratch.keep(star.where("not settled").join(sizes.where("m > 2"), "label", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("k")), "open")
+    if still.isEmpty():
         return links
-    rest = held.join(open_families, "label", "left_semi").join(star.select("label", "fp", "settled"), ["label", "fp"])
+    state = star.select("label", "fp", "settled")
+    large = still.where(F.col("k") > BLOCK)
+    if not large.isEmpty():
+        more, settled = _settle(held, star, large, scratch)
+        links = links.unionByName(more)
+        state = state.alias("a").join(settled.alias("b"), F.expr("a.fp = b.fp"), "left").selectExpr("a.label as label", "a.fp as fp", "coalesce(b.settled, a.settled) as settled")
+    # written, so that a family isn't kept together in one task of what follows
+    rest = scratch.keep(held.join(state, ["label", "fp"]).join(still.select("label"), "label", "left_semi"), "rest")
     return links.unionByName(scratch.keep(_open_links(rest), "links"))
 
 
+def _settle(held: DataFrame, star: DataFrame, large: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """For families with many open members: links (a, b) of all their members with some open ones, and (fp, settled): those in the family's largest component."""
+    inside = held.join(large, "label")
+    opened = inside.join(star.where("not settled").select("label", "fp"), ["label", "fp"], "left_semi")
+    probes = scratch.keep(opened.where(f"pmod(xxhash64(fp, label, 2), greatest(1L, k div {PROBES})) = 0").groupBy("label").agg(F.collect_list(F.struct("fp", "s")).alias("ps")), "probes")
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tc.tidied(batches):
+            a, z = [], []
+            for fp, s, ps in zip(*(b.column(c) for c in range(3)), strict=True):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                for p in ps.as_py():
+                    if p["fp"] != fp.as_py() and linked(np.frombuffer(p["s"], np.uint64), own):
+                        a.append(p["fp"])
+                        z.append(fp.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    more = scratch.keep(inside.join(probes, "label").select("fp", "s", "ps").mapInArrow(against, "a bigint, b bigint"), "more")
+    near = star.join(large.select("label"), "label", "left_semi")
+    parts = components(more.unionByName(near.where("settled and fp != head").selectExpr("head as a", "fp as b")), scratch).withColumnRenamed("label", "part")
+    named = scratch.keep(near.join(parts, near["fp"] == parts["id"], "left").select("label", "fp", F.coalesce("part", "fp").alias("part")), "named")
+    top = named.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("top"))
+    return more, scratch.keep(named.join(top, "label").select("fp", (F.col("part") == F.col("top")).alias("settled")), "settled")
+
+
 def _open_links(rows: DataFrame) -> DataFrame:
     """Links (a, b) of open members with open and with settled ones, a spanning forest for each task; rows: label, fp, n, s, settled."""
     rows = rows.withColumn("band", F.length(F.bin("n")))
@@ -428,7 +468,9 @@ def _open_links(rows: DataFrame) -> DataFrame:
         tc.tidy()
         return pa.table({"a": pa.array([int(fps[i]) for i, _ in links], pa.int64()), "b": pa.array([int(fps[j]) for _, j in links], pa.int64())})
 
-    return paired.groupBy("label", "kind", "x", "y", "lo", "hi").applyInArrow(verify, "a bigint, b bigint")
+    task = ["label", "kind", "x", "y", "lo", "hi"]
+    # dealt by task: a partitioning by family alone would do for the groups, but puts a family in one place
+    return paired.repartition(*task).groupBy(*task).applyInArrow(verify, "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
