@@ -98,9 +98,8 @@ def stitch_pieces(chunks: list[tuple[int, str]], ends: list[np.ndarray], rescan)
         if q is None or q <= begin:
             taken = chunks[i : i + joins]
             upto = [*(s - t for (t, _), (s, _) in zip(taken, taken[1:], strict=False)), None]
-            text = (text[: start - at] + "".join(b[:n] for (_, b), n in zip(taken, upto, strict=True)))[begin:]
-            at, begin = at + begin, 0
-            own = rescan(text)
+            text = text[: start - at] + "".join(b[:n] for (_, b), n in zip(taken, upto, strict=True))
+            own = rescan(text[begin:]) + begin
             i, joins = i + len(taken), 2 * joins
             continue
         pieces.append(text[begin:q])
