@@ -238,8 +238,8 @@ spots AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d),
 hits AS (SELECT rid, label, i FROM spots, p WHERE w[i + 1] = ws[1] AND w[i + 1 : i + len(ws)] = ws),
 base AS (SELECT rid, count(*) AS n, min(i) AS f, max(i) AS l, list_sort(list(DISTINCT label)) AS labels FROM hits GROUP BY rid),
 called AS (SELECT rid, list(DISTINCT label) AS labels FROM spots, m WHERE w[i + 1] = ws[1] AND w[i + 1 : i + len(ws)] = ws GROUP BY rid),
-starts AS (SELECT rid, w, size, unnest(range((2 * len(w) + size - 1) // size)) * (size // 2) AS at FROM d, (SELECT DISTINCT size FROM t)),
-blocks AS (SELECT rid, size, list_distinct(w[at + 1 : at + size]) AS b FROM starts),
+starts AS (SELECT rid, w, size, unnest(range((2 * len(w) + size - 1) // size)) * (size // 2) AS lo FROM d, (SELECT DISTINCT size FROM t)),
+blocks AS (SELECT rid, size, list_distinct(w[lo + 1 : lo + size]) AS b FROM starts),
 found AS (
   SELECT rid, max(same / len(ws)) AS best, list(DISTINCT label) AS labels
   FROM (SELECT rid, ws, label, len(list_intersect(b, ws)) AS same FROM blocks JOIN t USING (size)) WHERE 100 * same >= {PERCENT} * len(ws) GROUP BY rid)
