@@ -505,7 +505,7 @@ def test_a_text_of_very_many_matches(spark):
     df = frame(spark, [text, "plain"], source="src1").cache()
     began = time.time()
     cut = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
-    assert time.time() - began < 120
+    assert time.time() - began < 300  # in the square of the matches it would be hours
     assert cut[0].count(secrets.MARK) == n // 2 and "AKIA" not in cut[0] and cut[0].count("commit 3f9c") == n // 2 and cut[1] == "plain"
     assert secrets.scan(df).agg(F.max("start")).first()[0] == text.rindex("3f9c")
 
