@@ -32,7 +32,8 @@ def clean(c) -> Column:
 
 def collapse(c, to: str = " ") -> Column:
     """Runs of white space become one separator, none at the ends."""
-    return strip(F.regexp_replace(blank_null(c), f"{SPACE}+", to))
+    joined = F.regexp_replace(blank_null(c), f"{SPACE}+", to)
+    return F.btrim(joined, F.lit(to)) if len(to) == 1 and to.isspace() else strip(joined)  # no other white space is left
 
 
 def squeeze(c, also: str = r"\p{P}") -> Column:
