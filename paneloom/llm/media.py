@@ -12,7 +12,7 @@ mismatch raises, it never passes silently.
 
 Equal payloads are stored and read once and joined back to all rows that hold them, so a large group of copies
 costs one reconstruction. Payloads travel compressed, with a dictionary trained on the first chunks of at most
-``dict_chunks`` distinct texts, those with the smallest hash: the same on any number of executors, 24 MB at most on the
+``dict_chunks`` distinct texts, those with the smallest hash: the same on any number of executors, 48 MB at most on the
 driver. Null and empty texts give 64 zero samples. A very long text is one medium, which the tasks that write and read it
 hold whole. Repeated rows give repeated results; an empty table gives none. Only ``doc_id`` and ``text`` are read, so
 other columns may have any name.
@@ -36,7 +36,7 @@ from paneloom.llm.textcore import tidied
 from paneloom.session import Scratch, release_shuffles, ship_package
 
 ALIGN = 64
-MIN_CHUNK, CUT_BITS, MAX_CHUNK = 512, 11, 8_192  # some 2.5 KB a chunk: most texts have a few
+MIN_CHUNK, CUT_BITS, MAX_CHUNK = 2_048, 12, 16_384  # some 6 KB a chunk: smaller ones compress worse than they share
 DICT_CHUNKS, DICT_BYTES, LEVEL = 3_000, 1 << 18, 6
 WAVES = 2
 SEEN = 100_000  # digests that a task remembers, some 15 MB; a medium met twice is dropped by the store
