@@ -141,13 +141,13 @@ def workbook_export(spark, sf):
 
 @query("cached_lookup", r"SELECT page_id, CASE WHEN page_id % 3 < 2 THEN '/cache/' || substr(regexp_replace(regexp_replace(CASE WHEN page_id % 3 = 1 THEN regexp_replace(url, '^http:', 'https:') ELSE url END, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 120) || '.html' END AS path FROM pages")
 def cached_lookup(spark, sf):
-    """The file of each page by the safe name of its URL or of its https form; a page in three has none."""
+    """The file kept for each page, by the safe name of its URL or of its https form; a page in three has none, whatever is kept for other pages of its URL."""
     from paneloom.functions.text import safe_name
 
     p = read_table(spark, sf, "pages").select("page_id", "url")
     kept = F.when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^http:", "https:")).otherwise(F.col("url"))
-    files = p.where("page_id % 3 < 2").select(F.concat(F.lit("/cache/"), safe_name(kept), F.lit(".html")).alias("path"))
-    return io.cached_pages(p, "url", files.distinct()).select("page_id", "path")
+    files = p.where("page_id % 3 < 2 AND url IS NOT NULL").select("page_id", F.concat(F.lit("/cache/"), safe_name(kept), F.lit(".html")).alias("path"))
+    return io.cached_pages(p, "url", files.distinct(), by=["page_id"]).select("page_id", "path")
 
 
 @query("variable_map", "SELECT * FROM (VALUES (1, 'panel_id', 'identifier', 'constructed', 'unit and period'), (2, 'unit', 'key', 'nation', ''), (3, 'period', 'key', 'orders', ''), (4, 'orders', 'main', 'orders', 'count')) v(position, variable, role, source, note)")

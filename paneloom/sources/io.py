@@ -7,7 +7,7 @@ import glob
 import json
 import os
 import tomllib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,13 +81,18 @@ def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return payload_status(files, "body")
 
 
-def cached_pages(wanted: DataFrame, url: str, files: DataFrame) -> DataFrame:
-    """Wanted URLs with the file that holds them, found by safe name of the URL or of its https form."""
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.html?$", 1).alias("_name"), "path")
-    out = wanted.withColumn("_n", safe_name(url)).withColumn("_s", safe_name(F.regexp_replace(url, "^http:", "https:")))
-    first = out.join(named.withColumnRenamed("path", "_p1"), F.col("_n") == F.col("_name"), "left").drop("_name")
-    both = first.join(named.withColumnRenamed("path", "_p2"), F.col("_s") == F.col("_name"), "left")
-    return both.withColumn("path", F.coalesce("_p1", "_p2")).drop("_n", "_s", "_p1", "_p2", "_name")
+def cached_pages(wanted: DataFrame, url: str, files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Wanted URLs with the file that holds them, found by safe name of the URL or of its https form; a null URL has none.
+
+    by names columns of both tables that must agree, for caches that don't share their files: equal URLs, or such with
+    equal safe names, then find only what was kept for their own key.
+    """
+    named = files.select(*by, F.regexp_extract("path", r"([^/]+)\.html?$", 1).alias("_name"), "path")
+    safe = lambda c: F.when(F.col(url).isNotNull(), safe_name(c))
+    out = wanted.withColumn("_n", safe(url)).withColumn("_s", safe(F.regexp_replace(url, "^http:", "https:")))
+    for name, path in (("_n", "_p1"), ("_s", "_p2")):
+        out = out.join(named.withColumnsRenamed({"_name": name, "path": path}), [*by, name], "left")
+    return out.select(*(F.col(c) for c in wanted.columns), F.coalesce("_p1", "_p2").alias("path"))
 
 
 def page_path(folder: str, source: str, batch: str, page: int) -> str:

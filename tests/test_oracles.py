@@ -50,3 +50,21 @@ def test_entry_is_balanced(spark, sf_dir):
     assert (rows.documents == 0).any()
     shares = rows[[c for c in rows if c.endswith("_hits_share")]].sum(axis=1)
     assert shares.round(9).isin([0.0, 1.0]).all()
+
+
+def same_on_pages(spark, tmp_path, name, rows):
+    """The query's rows and its SQL's on a table of pages that is made up of rows."""
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = canonical(registry.QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert got == canonical(con.execute(registry.ORACLES[name]).df())
+    return got[1]
+
+
+def test_cached_lookup_of_repeated_urls(spark, tmp_path):
+    """Pages of one URL, or of URLs with one safe name, each have what is kept for them."""
+    long = "http://h.org/" + "a" * 200
+    urls = ["http://h.org/1", "http://h.org/1", "http://h.org/1", "https://h.org/1", "http://h.org/1?", "https://h.org/1#", None, None, long, long + "b", long + "c", long, "", "", ""]
+    got = same_on_pages(spark, tmp_path, "cached_lookup", [(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], "")])
+    assert len(got) == len(urls) + 1
