@@ -101,9 +101,15 @@ class PageReader(HTMLParser):
         return [r for r in self.regions[1:] if r.fits(selector)]
 
 
-def read_page(html: str | None, wanted: Sequence[str] = ()) -> PageReader:
+def read_page(html: str | None, wanted: Sequence[str] = (), references: Sequence[str] | None = None) -> PageReader:
+    """references are the character references to decode, such as lt or #39, where a semicolon ends them; all others stay
+    as they are written. None decodes all that HTML knows, as browsers do, some of them also without a semicolon.
+    """
+    text = html or ""
+    if references is not None:  # every other ampersand stands for itself
+        text = re.sub(f"&(?!(?:{'|'.join(map(re.escape, references))});)", "&amp;", text)
     reader = PageReader(wanted)
-    reader.feed(html or "")
+    reader.feed(text)
     reader.close()
     return reader
 
@@ -153,9 +159,9 @@ FIELDS: dict[str, Callable] = {
 }
 
 
-def parse_page(html: str | None, url: str | None, selectors: Sequence[str], least: int = 80) -> dict:
+def parse_page(html: str | None, url: str | None, selectors: Sequence[str], least: int = 80, references: Sequence[str] | None = None) -> dict:
     """FIELDS of one detail page, from one pass over it."""
-    page = read_page(html, [*selectors, "h1", "title", "meta", "td", "a", SUBJECT_CLASS])
+    page = read_page(html, [*selectors, "h1", "title", "meta", "td", "a", SUBJECT_CLASS], references)
     return {name: read(page, url, selectors, least) for name, read in FIELDS.items()}
 
 
@@ -165,18 +171,19 @@ PAGE = "struct<title: string, agency: string, body: string, publish_date: string
 def parse_details(
     pages: DataFrame, key: str, url: str, html: str, selectors: tuple[str, ...] = SELECTORS, short: int = 80, review: int = 200,
     title: str | None = None, number: str | None = None, listed_day: str | None = None, candidate: str | None = None, error: str | None = None,
+    references: Sequence[str] | None = None,
 ) -> DataFrame:
     """One record for each page: parsed fields, ids, document type, parse and review status.
 
     title, number, listed_day and candidate (its id) name columns of the list the page was found on; they fill what the
     page lacks. error names a column that says why a page could not be fetched: such a page is a record, too, with
-    status detail_failed, the fields of the list, and nothing of its own.
+    status detail_failed, the fields of the list, and nothing of its own. references are those that read_page decodes.
     """
     ship_package(pages.sparkSession)
 
     @F.pandas_udf(PAGE)
     def parse(h: pd.Series, u: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_page(x, y, selectors) for x, y in zip(h, u, strict=True)], columns=list(FIELDS))
+        return pd.DataFrame([parse_page(x, y, selectors, references=references) for x, y in zip(h, u, strict=True)], columns=list(FIELDS))
 
     hint = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     why = F.nullif(hint(error), F.lit(""))

@@ -68,3 +68,12 @@ def test_cached_lookup_of_repeated_urls(spark, tmp_path):
     urls = ["http://h.org/1", "http://h.org/1", "http://h.org/1", "https://h.org/1", "http://h.org/1?", "https://h.org/1#", None, None, long, long + "b", long + "c", long, "", "", ""]
     got = same_on_pages(spark, tmp_path, "cached_lookup", [(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], "")])
     assert len(got) == len(urls) + 1
+
+
+def test_page_parse_of_character_references(spark, tmp_path):
+    """References as the SQL decodes them, also where a title is cut within one and where the text is the whole page's."""
+    page = "<html><head><title>{t}</title><script>var t='&amp';</script></head><body><h1>{t}</h1><article><p>{b}</p></article><footer>&copy; n &middot; {b}</footer></body></html>"
+    titles = ["a &amp;&amp;&amp", "a &am", "a &", "a &quot", "b &lt;i&gt;", "&amp;lt; &amp;amp;", "&LT; &#39; &#39 &#x27;&#X27;", "&copy; &copy &eacute;", "x&nbsp;&nbsp y", "&ampx; &;&&amp;"]
+    bodies = ["text &amp; &amp", "", "&quot;q&quot; &middot; &#8212; " * 20]
+    got = same_on_pages(spark, tmp_path, "page_parse", [(i * 3 + k, f"http://h.org/{i}", page.format(t=t, b=b)) for i, t in enumerate(titles) for k, b in enumerate(bodies)])
+    assert len(got) == len(titles) * len(bodies)
